@@ -113,3 +113,10 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, group: str | None =
     if group:
         on &= kept[group].eqNullSafe(totals[group])
     return kept.join(totals.select("_pid", "_base", *([group] if group else [])), on, "left").select(*[kept[c] for c in columns], (F.col("_base") + kept["_local"]).alias("before"))
+
+
+def cut_points(df: DataFrame, column: str, ranges: int) -> list[int]:
+    """At most ranges - 1 rising values that part a long column into about equal ranges; nulls don't count."""
+    shares = [(i + 1) / ranges for i in range(ranges - 1)]
+    found = df.agg(F.percentile_approx(F.col(column).cast("long"), shares, max(1000, 10 * ranges)).alias("at")).first()["at"] if shares else None
+    return sorted(set(found or []))
