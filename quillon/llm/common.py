@@ -106,13 +106,14 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, group: str | None =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(v), pid, np.int32)), pa.array(out)], [*columns, "_pid", "_local"])
 
     kept = written(runs.mapInArrow(local, schema), name)
-    totals = kept.groupBy("_pid", *([group] if group else [])).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_sum"))
-    part = f"PARTITION BY `{group}`" if group else ""
-    totals = totals.withColumn("_base", F.coalesce(F.expr(f"sum(_sum) OVER ({part} ORDER BY _pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0)))
-    on = kept["_pid"] == totals["_pid"]
+    named = [F.col(group).alias("_of")] if group else []
+    totals = kept.groupBy(F.col("_pid").alias("_run"), *named).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_sum"))
+    part = "PARTITION BY _of" if group else ""
+    totals = totals.withColumn("_base", F.coalesce(F.expr(f"sum(_sum) OVER ({part} ORDER BY _run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0)))
+    on = F.col("_pid") == F.col("_run")
     if group:
-        on &= kept[group].eqNullSafe(totals[group])
-    return kept.join(totals.select("_pid", "_base", *([group] if group else [])), on, "left").select(*[kept[c] for c in columns], (F.col("_base") + kept["_local"]).alias("before"))
+        on &= F.col(group).eqNullSafe(F.col("_of"))
+    return kept.join(totals.drop("_sum"), on, "left").select(*columns, (F.col("_base") + F.col("_local")).alias("before"))
 
 
 def cut_points(df: DataFrame, column: str, ranges: int) -> list[int]:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm.common import prefix_sums, texts, written
 from quillon.llm.tokens import WORD_BPE, word_bpe
@@ -75,8 +76,8 @@ def direction(ids: np.ndarray, n: int) -> np.ndarray:
     return v / (np.linalg.norm(v) or 1.0)
 
 
-def tokenised(docs: DataFrame, name: str = WORD_BPE, end_id: int = END_ID) -> DataFrame:
-    """(row, doc_id, n, key, ids): ids as 16-bit integers with the end-of-document id."""
+def tokenised(docs: DataFrame, name: str = WORD_BPE, end_id: int = END_ID, along: tuple[str, ...] = ()) -> DataFrame:
+    """(row, doc_id, n, key, ids, *along): ids as 16-bit integers with the end-of-document id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = word_bpe(name), np.uint16(end_id).tobytes()
@@ -87,17 +88,23 @@ def tokenised(docs: DataFrame, name: str = WORD_BPE, end_id: int = END_ID) -> Da
                 ids = [bpe.ids(t) + end for t in texts(b.column(2))]
                 v = np.array([direction(np.frombuffer(x, np.uint16)[:-1], size) for x in ids]).reshape(-1, DIMS)
                 keys = hilbert_keys(np.floor((v + 1) / 2 * ((1 << BITS) - 1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array([len(x) // 2 for x in ids], np.int64)), pa.array(keys), pa.array(ids, pa.binary())], ["row", "doc_id", "n", "key", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array([len(x) // 2 for x in ids], np.int64)), pa.array(keys), pa.array(ids, pa.binary()), *b.columns[3:]], out.names)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, n long, key long, ids binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *along)
+    out = T.StructType(T.StructType.fromDDL("row long, doc_id long, n long, key long, ids binary").fields + rows.select(*along).schema.fields)
+    return rows.mapInArrow(run, out)
 
 
-def pack(docs: DataFrame, name: str = WORD_BPE, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, name: str = WORD_BPE, length: int = LENGTH, end_id: int = END_ID, window: int | None = None, along: tuple[str, ...] = ()) -> DataFrame:
     """The pieces of docs (doc_id, text): sequence `sequence_id` has `ids` (unsigned little-endian 32-bit) from `offset` on,
-    which are the document's from `start` on."""
-    ids = written(tokenised(docs, name, end_id), "packing-ids")
-    places = prefix_sums(ids.select("key", "doc_id", "row", "n"), ["key", "doc_id", "row"], "n", name="packing-order").select(F.col("row").alias("_row"), "before")
+    which are the document's from `start` on. With a window, the rows are first taken in the order of the columns `along`, and
+    each part of about `window` tokens of that order is packed along the curve for itself."""
+    ids = written(tokenised(docs, name, end_id, along), "packing-ids")
+    order, rows = ["key", "doc_id", "row"], ids.select("key", "doc_id", "row", "n", *along)
+    if window:
+        rows = prefix_sums(rows, [*along, "row"], "n", name="packing-windows").select("key", "doc_id", "row", "n", F.expr(f"before div {int(window)}").alias("window"))
+        order = ["window", *order]
+    places = prefix_sums(rows.select(*order, "n"), order, "n", name="packing-order").select(F.col("row").alias("_row"), "before")
     placed = ids.select("row", "doc_id", "n", "ids").join(places.hint("shuffle_hash"), F.col("row") == F.col("_row")).select("doc_id", "n", "before", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

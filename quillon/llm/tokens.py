@@ -85,30 +85,31 @@ def word_bpe(name: str = WORD_BPE) -> WordBpe:
 
 
 class Fertility(dict):
-    """Word to (ids of the vocabulary with byte fallback, number of byte-level tokens)."""
+    """Word to (ids of the vocabulary with byte fallback, number of byte-level tokens), for words that learn() has met."""
 
     def __init__(self, pieces: str, ranks: str) -> None:
         import base64
 
         import public_tokenizers
         import sentencepiece
-        import tiktoken
+        from tiktoken import _tiktoken
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary(pieces))
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary(ranks), "rb"))}
-        self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        self.bpe = _tiktoken.CoreBPE(table, {}, public_tokenizers.PATTERN)
         self.fallback = np.array([self.sp.is_byte(i) or self.sp.is_unknown(i) for i in range(self.sp.vocab_size())])
 
-    def __missing__(self, word: bytes) -> tuple[bytes, int]:
-        text = word.decode("utf-8", "replace")
-        parts = [text[i : i + LONG_PIECE] for i in range(0, len(text), LONG_PIECE)]
-        ids = array("H", [i for x in self.sp.encode(parts, num_threads=1) for i in x]).tobytes()
-        out = ids, sum(len(self.bpe.encode_ordinary(" " * (k == 0) + x)) for k, x in enumerate(parts))
-        if len(word) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = out
-        return out
+    def learn(self, words: set[bytes]) -> None:
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > CACHE:
+            self.clear()
+            new = list(words)
+        parts = [(w, t[i : i + LONG_PIECE]) for w in new for t in (w.decode("utf-8", "replace"),) for i in range(0, len(t), LONG_PIECE)]
+        count = self.bpe.encode_ordinary
+        for (w, text), ids in zip(parts, self.sp.encode([t for _, t in parts], num_threads=1) if parts else []):
+            more = array("H", ids).tobytes(), len(count(" " + text))
+            old = self.get(w)
+            self[w] = more if old is None else (old[0] + more[0], old[1] + more[1])
 
 
 @lru_cache(4)

@@ -76,3 +76,12 @@ def test_query_and_empty_table(spark, rows, none, tmp_path):
         if p.doc_id not in (3, None):
             part = [*ids[p.doc_id], 2][p.start : p.start + p.length]
             assert p.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+
+
+def test_windows_follow_the_given_order(spark, rows, none):
+    numbered = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows)], "doc_id long, text string").withColumn("mix", -packing.F.col("doc_id"))
+    place = {p.doc_id: p.sequence_id * 4096 + p.offset for p in packing.pack(numbered, window=2000, along=("mix",)).collect() if p.start == 0}
+    n = [len(x) + 1 for x in plain([r[1] or "" for r in rows])]
+    window = {i: sum(n[i + 1 :]) // 2000 for i in range(len(n))}
+    order = sorted(place, key=place.get)
+    assert [window[i] for i in order] == sorted(window.values()) and len(set(window.values())) > 3
