@@ -1,7 +1,7 @@
 """Toxicity by a small convolutional text classifier, trained in numpy.
 
 Words (ASCII lower case, ASCII punctuation at the ends dropped) are hashed to 32 bits; hashes that at least `least_docs` training
-documents hold have an embedding, all others are zero. Filters of width one to three run over the whole text, the largest
+documents hold have an embedding, other words take that of their longest such beginning (of 6 to 10 bytes), or zero. Filters of width one to three run over the whole text, the largest
 response of each filter is kept, and a logistic layer scores them. An embedding's first entry begins as the word's smoothed log
 odds, the rest at random. Training sees at most `sample` labelled rows (those of least hash), of which a fifth is kept for
 calibration: there each language, as the text's own common words tell it, gets a threshold, to which the score is shifted, so
@@ -16,6 +16,7 @@ labelled row of both kinds every score is the share of label 1 seen.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,15 +43,29 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+PREFIXES = (10, 9, 8, 7, 6)
+
+
+def hashed(word: bytes) -> int:
+    return xxh32_intdigest(word)
+
+
+def prefixes(word: bytes) -> list[int]:
+    """Hashes of a word's beginnings, the longest first."""
+    return [xxh32_intdigest(word[:n], 1) for n in PREFIXES if len(word) > n]
+
+
 class Words(dict):
-    """Word as written to (row of the embeddings, language); row 0 is no word."""
+    """Word as written to 8 * (row of the embeddings) + language; row 0 is no word. A word without a row of its own has that of
+    its longest known beginning."""
 
     def __init__(self, known: np.ndarray) -> None:
         self.row = {int(h): i + 1 for i, h in enumerate(known)}
 
     def __missing__(self, word: bytes) -> int:
         bare = word.strip(EDGE)
-        out = self.row.get(xxh32_intdigest(bare), 0) * 8 + _LANGUAGE.get(bare, 7)
+        row = self.row.get(hashed(bare)) or next((r for h in prefixes(bare) if (r := self.row.get(h))), 0)
+        out = row * 8 + _LANGUAGE.get(bare, 7)
         if len(word) <= 64:
             if len(self) >= 400_000:
                 self.clear()
@@ -122,14 +137,14 @@ def log_odds(bags: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarra
     return z
 
 
-def train(texts: list[bytes], labels: np.ndarray, least_docs: int = LEAST_DOCS, dim: int = DIM, epochs: int = 12, seed: int = 5) -> tuple[np.ndarray, Network]:
+def train(texts: list[bytes], labels: np.ndarray, least_docs: int = LEAST_DOCS, dim: int = DIM, epochs: int = 6, seed: int = 5) -> tuple[np.ndarray, Network]:
     """(known hashes, network), by Adam on the log loss; gradients pass the pools to the winning windows only."""
     rng = np.random.default_rng(seed)
-    seen: dict[int, int] = {}
-    for t in texts:
-        for h in {xxh32_intdigest(w.strip(EDGE)) for w in set(t.lower().split())}:
-            seen[h] = seen.get(h, 0) + 1
-    known = np.array(sorted(h for h, n in seen.items() if n >= least_docs), np.int64)
+    bags = [{w.strip(EDGE) for w in set(t.lower().split())} for t in texts]
+    seen = Counter(h for bag in bags for h in {hashed(w) for w in bag})
+    often = {h for h, n in seen.items() if n >= least_docs}
+    begun = Counter(h for bag in bags for h in {h for w in bag if hashed(w) not in often for h in prefixes(w)})
+    known = np.array(sorted(often | {h for h, n in begun.items() if n >= least_docs}), np.int64)
     words = Words(known)
     rows = [codes(t, words)[0] for t in texts]
     size, bank = len(known) + 1, FILTERS * len(WIDTHS)
