@@ -54,8 +54,9 @@ NAMED = [
 WORD_GROUP = {w: i for i, ws in reversed(list(enumerate(NAMED))) for w in ws.split()}
 N_TAGS, N_NAMES = len(set(TAGS.values())) + 1, len(NAMED)
 LEAF = N_TAGS + N_NAMES
-#: bias; tag; groups of names; hidden; leaf: bias, four lengths, ends a sentence, comma, three shares of links, sign of rights.
-N_FEATURES = 1 + N_TAGS + N_NAMES + 1 + 11
+#: bias; tag; groups of names; hidden; leaf: bias, four lengths, ends a sentence, comma, three shares of links, sign of rights,
+#: and which of these are above it: an article, an element that parts pages otherwise, an element named like a side matter.
+N_FEATURES = 1 + N_TAGS + N_NAMES + 1 + 11 + 8
 KINDS = 4  # of edges: to a leaf, to an element that parts pages, to a named element, to another
 RIGHTS = re.compile(r"©|\(c\)|all rights reserved|copyright", re.I)
 
@@ -64,7 +65,7 @@ class Page:
     """Parallel lists of nodes in document order, so that a parent comes before its children."""
 
     def __init__(self) -> None:
-        self.parent, self.features, self.kind, self.text = [-1], [[0, N_TAGS]], [3], [""]
+        self.parent, self.features, self.kind, self.text, self.above = [-1], [[0, N_TAGS]], [3], [""], [0]
 
 
 def _element(page: Page, parent: int, tag: str, attributes: str) -> int:
@@ -81,6 +82,8 @@ def _element(page: Page, parent: int, tag: str, attributes: str) -> int:
             groups.add(N_NAMES)
         found += [1 + N_TAGS + g for g in groups]
         kind = 2 if groups and kind == 3 else kind
+    above = page.above[parent] | (tag in ("article", "main")) | 2 * (kind == 1 and tag not in ("article", "main"))
+    page.above.append(above | 4 * any(2 + N_TAGS <= f < 2 + N_TAGS + N_NAMES for f in found))
     page.parent.append(parent)
     page.features.append(found)
     page.kind.append(kind)
@@ -98,6 +101,8 @@ def _leaf(page: Page, parent: int, text: str, linked: int) -> None:
         found.append(base + 6)
     if RIGHTS.search(text):
         found.append(base + 10)
+    found.append(base + 11 + page.above[parent])
+    page.above.append(0)
     page.parent.append(parent)
     page.features.append(found)
     page.kind.append(0)
@@ -272,6 +277,9 @@ def labelled_pages(n: int, seed: int = 1) -> list[tuple[str, set[str]]]:
 
     def prose(a: int = 1, b: int = 90) -> str:
         out, left = [], rng.randint(a, b)
+        if chance(0.12):  # text of little worth is still text: lists, repetition, noise, capitals
+            own = [word() for _ in range(left)] if chance(0.6) else [word()] * left
+            return pick([" ", " ", " | ", "### ", "!! "]).join(x.upper() if chance(0.1) else x for x in own).capitalize()
         while left > 0:
             k = min(left, rng.randint(1, 14))
             own = [word() for _ in range(k)]
@@ -279,7 +287,9 @@ def labelled_pages(n: int, seed: int = 1) -> list[tuple[str, set[str]]]:
                 own[k // 2] += ","
             out.append(" ".join(own).capitalize() + pick([".", ".", ".", "!", "?"]))
             left -= k
-        return " ".join(out)
+        if chance(0.06):
+            out.insert(rng.randint(0, len(out)), f"{pick(['Copyright (c)', '©', 'Copyright'])} {rng.randint(1990, 2030)} {word()}. {pick(['', 'All rights reserved.'])}")
+        return " ".join(" ".join(out).split())
 
     def links(k: int, wrap: str = "li") -> str:
         inner = "".join(f'<{wrap}><a href="/{word()}">{words(1, 4).capitalize()}</a></{wrap}>' for _ in range(k))
@@ -339,7 +349,7 @@ def labelled_pages(n: int, seed: int = 1) -> list[tuple[str, set[str]]]:
                 body.append(box(["related", "share", "newsletter", "social"], links(3, pick(["li", "p"])), ("div", "aside")))
         if chance(0.15):
             body.append(f'<footer><p class="tags">{words(2, 5)}</p></footer>')
-        comments = box(["comments", "comment-list", "discussion", "reader-comments", "responses reply"], pick(["", "<h3>Comments</h3>"]) + "".join(f'<{pick(["div", "p", "li", "article"])} class="{pick(["comment", "reply", "comment-body"])}">{prose(2, 60)}</{pick(["div", "p"])}>' if chance(0.6) else f"<div><b>{word()}</b><p>{prose(2, 60)}</p></div>" for _ in range(rng.randint(1, 5))), ("div", "section", "aside", "ol"))
+        comments = box(["comments", "comment-list", "discussion", "reader-comments", "responses reply"], pick(["", "<h3>Comments</h3>"]) + "".join(f'<{pick(["div", "p", "li"] * 6 + ["article"])} class="{pick(["comment", "reply", "comment-body"])}">{prose(2, 60)}</{pick(["div", "p"])}>' if chance(0.6) else f"<div><b>{word()}</b><p>{prose(2, 60)}</p></div>" for _ in range(rng.randint(1, 5))), ("div", "section", "aside", "ol"))
         side = pick(["aside", "div"])
         side = f'<{side} class="{pick(["sidebar", "side-rail", "widget-area", "related"])}"><h3>{words(1, 3)}</h3>{pick([links(4), f"<p>{prose(5, 50)}</p>", links(3) + f"<p>{prose(3, 30)}</p>"])}</{side}>'
         if chance(0.35) and chance(0.5):
