@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.vectors import as_vector, squared_l2, usable
+from quillon.functions.vectors import as_vector, squared_l2_to, usable
 from quillon.operators.blocks import distances, matrix
 
 #: Queries that go to the executors at once; more are searched in further blocks.
@@ -53,18 +53,23 @@ def query_vector(query: Sequence[float], dim: int | None = None) -> list[float]:
 
 
 def scored(base: DataFrame, query: Sequence[float], id_col: str = "id", vec_col: str = "vec", keep: Sequence[str] = ()) -> DataFrame:
-    """(id, score, *keep): squared distance to the query, for usable vectors of its size."""
+    """(id, score, *keep): squared distance to the query, for vectors of its size; null, NaN or infinite if an entry is."""
     q = query_vector(query)
     vec = as_vector(F.col(vec_col))
-    point = F.array(*[F.lit(x).cast("float") for x in q])
-    rows = base.filter(F.col(id_col).isNotNull() & usable(vec, len(q)))
-    return rows.select(F.col(id_col).cast("bigint").alias("id"), squared_l2(vec, point).alias("score"), *keep)
+    rows = base.filter(F.col(id_col).isNotNull() & (F.size(vec) == len(q)))
+    return rows.select(F.col(id_col).cast("bigint").alias("id"), squared_l2_to(vec, q).alias("score"), *keep)
+
+
+def first_k(rows: DataFrame, k: int) -> DataFrame:
+    """The k least scores. What can't be measured sorts last and is dropped after the limit, so that the distance is computed
+    once a row and not in a filter too."""
+    return rows.orderBy(F.col("score").asc_nulls_last(), "id").limit(checked_k(k)).filter(F.col("score") < float("inf"))
 
 
 def exact_knn(base: DataFrame, query: Sequence[float], k: int, id_col: str = "id", vec_col: str = "vec", where: Column | str | None = None, allowed: Sequence[int] | DataFrame | None = None) -> DataFrame:
     """(id, score) of the k nearest, nearest first, the lower id first among equals."""
     rows = restricted(base, id_col, where, allowed)
-    return scored(rows, query, id_col, vec_col).orderBy("score", "id").limit(checked_k(k))
+    return first_k(scored(rows, query, id_col, vec_col), k)
 
 
 FOUND = "query_id bigint, id bigint, score double"

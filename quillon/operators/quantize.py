@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -103,9 +104,12 @@ def table_column(table: np.ndarray) -> Column:
     return F.from_json(F.lit(str(table.tolist())), "array<array<double>>")
 
 
-def lookup_distance(code: Column, table: Column) -> Column:
-    """Sum over subspaces of the table's entry for the code; null for a null code or one outside the table."""
-    return F.aggregate(F.zip_with(code, table, lambda c, row: F.get(row, c.cast("int"))), F.lit(0.0), lambda s, x: s + x)
+def lookup_distance(code: Column, table: np.ndarray) -> Column:
+    """Sum over subspaces of the table's entry for the code, a compiled array access each; null for a null code or one outside
+    the table."""
+    whole = table_column(table)
+    entries = [F.get(F.get(whole, F.lit(m)), F.get(code, F.lit(m)).cast("int")) for m in range(len(table))]
+    return reduce(lambda s, x: s + x, entries, F.lit(0.0))
 
 
 def lookup_distances(codes: pa.Array, tables: np.ndarray) -> np.ndarray:

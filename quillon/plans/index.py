@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.vectors import as_vector, squared_l2, usable
 from quillon.operators import cluster, quantize
-from quillon.operators.knn import FOUND, best_of, checked_k, query_pairs, query_vector, restricted, scored, topmost
+from quillon.operators.knn import FOUND, best_of, checked_k, first_k, query_pairs, query_vector, restricted, scored, topmost
 
 RERANK, TRAIN_SHARE, LEAST_TRAINING, MOST_TRAINING = 200, 0.1, 4096, 262_144
 LOOKUP_BLOCK = 256
@@ -209,7 +209,7 @@ class Search:
             rows = rows.filter(F.col("cluster_id").isin(cluster.probed(self.index.points, self.vector, self.clusters)))
         for ids in self.allowed:
             rows = restricted(rows, "id", allowed=ids)
-        table = quantize.table_column(quantize.query_table(self.index.book, self.vector))
+        table = quantize.query_table(self.index.book, self.vector)
         rows = rows.select("id", quantize.lookup_distance(F.col("code"), table).alias("approximate"))
         if self.predicates:
             base = self.index.base
@@ -225,7 +225,7 @@ class Search:
         s = self.index.settings
         short = self.candidates().orderBy(F.col("approximate").asc_nulls_last(), "id").limit(self.shortlist).select(F.col("id").alias("_short"))
         exact = scored(self.index.base.join(F.broadcast(short), F.col(s.id_col).cast("bigint") == F.col("_short"), "left_semi"), self.vector, s.id_col, s.vec_col)  # the shortlist bounds it
-        return exact.orderBy("score", "id").limit(checked_k(k))
+        return first_k(exact, k)
 
     def topk(self, k: int) -> DataFrame:
         """The same with the score in single precision."""

@@ -135,9 +135,9 @@ def test_codes_and_lookups(base, spark):
     for r in quantize.encode(again, book).collect():
         assert all((book[m, c] == book[m, r.id]).all() for m, c in enumerate(r.code))
     table = quantize.query_table(book, ROWS[0][1])
-    got = quantize.encode(good, book).select("id", quantize.lookup_distance(F.col("code"), quantize.table_column(table)).alias("d")).collect()
+    got = quantize.encode(good, book).select("id", quantize.lookup_distance(F.col("code"), table).alias("d")).collect()
     assert all(math.isclose(r.d, sum(table[m][c] for m, c in enumerate(codes[r.id])), rel_tol=1e-12) for r in got)
-    assert spark.range(1).select(quantize.lookup_distance(F.array(F.lit(99), F.lit(0), F.lit(0), F.lit(0)), quantize.table_column(table))).first()[0] is None
+    assert spark.range(1).select(quantize.lookup_distance(F.array(F.lit(99), F.lit(0), F.lit(0), F.lit(0)), table)).first()[0] is None
 
 
 def test_index_search(index):
