@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vectors
 from quillon.operators import cluster, knn, quantize
-from quillon.plans import session
+from quillon.plans import evaluate, session
 from quillon.plans.index import Index, build_index, entries
 from quillon.sources import vectors as source
 
@@ -204,9 +204,12 @@ def index_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recall_of_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = base_of(spark, sf_dir)
-    lists = lambda df, name: df.groupBy("query_id").agg(F.collect_list("id").alias(name))
-    exact, found = lists(knn.exact_knn_batch(base, asked(base), 10, **NAMES), "exact"), lists(trained_index(base).search_batch(asked(base), 10), "found")
-    return exact.join(found, "query_id", "left").agg(F.round(F.avg(F.coalesce(vectors.recall(F.col("exact"), F.col("found")), F.lit(0.0))), 2).alias("recall"), F.count("*").alias("n_queries"))
+    return evaluate.batch_recall(trained_index(base), asked(base), 10).select("query_id", F.round("recall", 2).alias("recall"))
+
+
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = base_of(spark, sf_dir)
+    return evaluate.study(trained_index(base), [v for _, v in knn.query_pairs(asked(base))][:2], (1, 10), (2, CLUSTERS))
 
 
 def recall_of_limited_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,7 +353,7 @@ def queries() -> dict[str, Query]:
     found = (
         exact_knn, exact_knn_l2, exact_knn_batch, knn_where, knn_allowed_ids, knn_allowed_table, knn_post_filter, coarse_assign, inverted_lists, centroid_rank,
         probe_counts, limited_probe, pq_encode, pq_query_table, pq_distance, pq_exact_fallback, shortlist_rerank, lloyd_step, subspace_lloyd_step, train_codebooks,
-        train_centroids, ann_search, ann_search_filtered, ann_search_batch, ann_saved_and_loaded, index_catalog, recall_of_batch, recall_of_limited_probe, compression,
+        train_centroids, ann_search, ann_search_filtered, ann_search_batch, ann_saved_and_loaded, index_catalog, recall_of_batch, evaluation, recall_of_limited_probe, compression,
         bernoulli_sample, reservoir_sample, limited_scan, base_counts, table_info, sub_vectors, sql_distance, sql_ann_search, label_neighbours,
     )
     return {f.__name__: f for f in found}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from quillon.functions import vectors
 from quillon.operators import blocks, cluster, knn, quantize
-from quillon.plans import session
+from quillon.plans import evaluate, session
 from quillon.plans.index import STATUS, build_index, load_index, training_rows
 from quillon.sources import vectors as source
 
@@ -250,3 +250,14 @@ def test_streamed_vectors_get_the_batch_codes(spark, base, index, tmp_path):
     append_stream(index, stream, f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination(120)
     key = lambda rows: sorted((r.cluster_id, r.id, tuple(r.code)) for r in rows)
     assert key(spark.read.parquet(f"{tmp_path}/out/entries").collect()) == key(index.entries.collect())
+
+
+def test_evaluation(index):
+    queries = [ROWS[i][1] for i in (0, 8)]
+    rows = evaluate.study(index, queries, (1, 5), (1, 5)).collect()
+    assert [(r.k, r.nprobe) for r in rows] == [(1, 1), (1, 5), (5, 1), (5, 5)] and all(r.avg_exact_ms > 0 and 0 <= r.recall <= 1 for r in rows)
+    assert [r.recall for r in rows if r.nprobe == 5] == [1.0, 1.0]
+    assert [r.recall for r in evaluate.batch_recall(index, list(enumerate(queries)), 5).collect()] == [1.0, 1.0]
+    found = evaluate.filter_study(index, queries[0], ["region = 'US'", "region = 'nowhere'"]).collect()
+    assert [r.result_count for r in found] == [10, 0] and all(r.speed_up > 0 for r in found)
+    assert tuple(evaluate.code_compression(index).first()) == (len(ROWS), 4 * len(ROWS), 16.0)
