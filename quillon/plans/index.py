@@ -67,6 +67,11 @@ class Index:
             self._points = cluster.centroid_array(self.centroids)
         return self._points
 
+    def cached(self) -> Index:
+        """The same index with its entries in executor memory (and on disk beyond it), for many searches without saving it."""
+        self.entries = self.entries.persist()
+        return self
+
     def postings(self) -> DataFrame:
         return cluster.postings(self.entries)
 
