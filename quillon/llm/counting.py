@@ -93,4 +93,5 @@ def document_tokens(docs: DataFrame, name: str = WORD_BPE, separator: int = SEPA
     listed = write_tokens(docs, name, separator)
     files = listed.groupBy("file").agg(F.first("bytes").alias("bytes"))
     counts = count_tokens(docs.sparkSession, files, separator, block_tokens)
-    return listed.join(counts, ["file", "ordinal"]).select("doc_id", F.element_at(F.split("file", "/"), -1).alias("file"), "ordinal", "start", "n_tokens")
+    # the list compresses to little, which must not make it look small enough to broadcast
+    return listed.join(counts.hint("shuffle_hash"), ["file", "ordinal"]).select("doc_id", F.element_at(F.split("file", "/"), -1).alias("file"), "ordinal", "start", "n_tokens")
