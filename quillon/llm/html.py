@@ -111,9 +111,13 @@ def _leaf(page: Page, parent: int, text: str, linked: int) -> None:
 
 def parse(html: str) -> Page:
     page = Page()
+    opened = html.rfind("<!--")
+    if opened >= 0 and html.find("-->", opened) < 0:  # a comment that is never closed
+        html = html[:opened]
     stack: list[tuple[str, int]] = [("", 0)]
     run: list[str] = []
     linked, links, at, n = 0, 0, 0, len(html)
+    last = html.rfind(">") + 1  # no markup ends beyond, so nothing is searched there again and again
 
     def flush() -> None:
         nonlocal linked
@@ -132,7 +136,7 @@ def parse(html: str) -> Page:
             linked += len(text)
 
     while at < n:
-        m = TOKEN.search(html, at)
+        m = TOKEN.search(html, at, last) if at < last else None
         if m is None:
             add(html[at:])
             break

@@ -46,8 +46,9 @@ def test_made_pages_that_were_not_trained_on():
 
 def test_broken_and_odd_markup():
     tree = html.trained()
-    for bad in ["", " ", "<", "<p", "no tags, only words in a page.", "<script>never closed", "<a href=\"x>text", "<p>" * 3000, "</div></p>", "<table><tr><td>x<td>y", "<!-- open", "&#x110000; &nosuch; &#0;", "a" * 200_000, "<b " + "x='1' " * 5000 + ">y</b>"]:
+    for bad in ["", " ", "<", "<p", "no tags, only words in a page.", "<script>never closed", "<a href=\"x>text", "<p>" * 3000, "</div></p>", "<table><tr><td>x<td>y", "<!-- open", "&#x110000; &nosuch; &#0;", "a" * 200_000, "<b " + "x='1' " * 5000 + ">y</b>", "<p>x</p>" + "<a " * 100_000, "<!" * 100_000]:
         assert isinstance(html.main_text(bad, tree), str)
+    assert [t for t in html.parse("<p>a</p><!-- b <p>c</p>").text if t] == ["a"]
     assert [t for t in html.parse("<p>a&nbsp;b <b>c</b>d</p>e<br>f<div>g</div>").text if t] == ["a b cd", "e f", "g"]
 
 
