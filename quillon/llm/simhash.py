@@ -3,9 +3,9 @@
 A 64-bit fingerprint becomes the 16 bit counts of its 4-bit segments. The Manhattan distance of two such points is at most the
 Hamming distance of the fingerprints, so all pairs within 2 bits lie within 2 steps on the grid: each point enters its own cell
 and the 32 cells one step away, any such pair meets in a cell, and the pairs of a cell are verified exactly. A cell with more
-than `cell_limit` different fingerprints is not compared pair by pair: its fingerprints enter their 65 bit-flip neighbours
-instead, where two meet exactly when they differ in at most 2 bits, and a star per neighbour joins them. Nothing is dropped
-and work grows with the rows. Equal fingerprints are one node.
+than `cell_limit` different fingerprints is not compared pair by pair: its fingerprints enter their own and their 64 bit-flip
+neighbours instead (once each, however many such cells hold them), where two meet exactly when they differ in at most 2 bits,
+and a star per neighbour joins them. Nothing is dropped and work grows with the rows, also where all cells are over the limit. Equal fingerprints are one node.
 
 Null texts count as empty; an empty text has fingerprint zero. Repeated rows and doc_ids keep one result row each. A null
 doc_id takes part in linking but never names a component; a component of null ids only has component_id null.
@@ -78,24 +78,20 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch], cell_limit: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of the cells of one sorted partition, and (flip, fp) rows, marked by a null star, of cells over the limit.
+    """Pairs (a, b) of the cells of one sorted partition, and for cells over the limit their members (a = b), marked as crowded.
 
     Holds one Arrow batch and at most one cell's first cell_limit rows more."""
     cell, fp, hot = np.empty(0, np.int64), np.empty(0, np.uint64), None
 
-    def out(a: np.ndarray, b: np.ndarray, star: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), star))], ["a", "b", "star"])
-
-    def stars(f: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(f), 4096):
-            part = f[i : i + 4096]
-            yield out((part[:, None] ^ _FLIPS[None, :]).ravel(), np.repeat(part, len(_FLIPS)), True)
+    def out(a: np.ndarray, b: np.ndarray, crowded: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), crowded))], ["a", "b", "crowded"])
 
     def pairs(c: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.empty(0, np.int64)
         sizes = np.diff(np.r_[starts, len(c)])
         big = np.repeat(sizes > cell_limit, sizes)
-        yield from stars(f[big])
+        if big.any():
+            yield out(f[big], f[big], True)
         c, f = c[~big], f[~big]
         for d in range(1, cell_limit):
             at = np.flatnonzero(c[d:] == c[:-d]) if d < len(c) else ()
@@ -110,7 +106,7 @@ def _meet(batches: Iterator[pa.RecordBatch], cell_limit: int, bits: int) -> Iter
         c, f = np.asarray(b.column(0)), np.asarray(b.column(1)).view(np.uint64)
         if hot is not None:
             same = c == hot
-            yield from stars(f[same])
+            yield out(f[same], f[same], True)
             if same.all():
                 continue
             c, f, hot = c[~same], f[~same], None
@@ -121,24 +117,31 @@ def _meet(batches: Iterator[pa.RecordBatch], cell_limit: int, bits: int) -> Iter
         yield from pairs(cell[:tail], fp[:tail])
         cell, fp = cell[tail:], fp[tail:]
         if len(cell) > cell_limit:
-            yield from stars(fp)
+            yield out(fp, fp, True)
             cell, fp, hot = cell[:0], fp[:0], cell[0]
     yield from pairs(cell, fp)
 
 
+def _flips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for i in range(0, whole.num_rows, 4096):
+            fp = np.asarray(whole.column(0).slice(i, 4096)).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((fp[:, None] ^ _FLIPS[None, :]).ravel().view(np.int64)), pa.array(np.repeat(fp, len(_FLIPS)).view(np.int64))], ["flip", "fp"])
+
+
 def links(fps: DataFrame, bits: int = 2, cell_limit: int = 64) -> DataFrame:
-    """(src, dst): edges between different fingerprints whose components are those of all links at `bits` or fewer bits."""
-    if bits > 2:
-        raise ValueError("a cell and its next cells cover two bits")
+    """(src, dst): edges between different fingerprints whose components are those of all links at 2 or fewer bits."""
+    if bits != 2:
+        raise ValueError("next cells and bit flips are made for two bits")
     met = written(
         fps.select("fp").mapInArrow(_cells, "cell long, fp long").repartition("cell").sortWithinPartitions("cell", "fp")
-        .mapInArrow(lambda it: _meet(it, cell_limit, bits), "a long, b long, star boolean"),
+        .mapInArrow(lambda it: _meet(it, cell_limit, bits), "a long, b long, crowded boolean"),
         "simhash-met",
     )
-    flips = met.filter("star").select("a", "b").distinct()
-    least = flips.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).filter("n > 1")
-    star = flips.join(least, "a").select(F.col("b").alias("src"), F.col("low").alias("dst"))
-    return met.filter("not star").select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(star).filter("src <> dst").distinct()
+    flips = met.filter("crowded").select("a").distinct().mapInArrow(_flips, "flip long, fp long")
+    least = flips.groupBy("flip").agg(F.min("fp").alias("low"), F.count("*").alias("n")).filter("n > 1")
+    star = flips.join(least, "flip").select(F.col("fp").alias("src"), F.col("low").alias("dst"))
+    return met.filter("not crowded").select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(star).filter("src <> dst").distinct()
 
 
 def simhash_groups(docs: DataFrame, words_each: int = 3, bits: int = 2, cell_limit: int = 64) -> DataFrame:
