@@ -50,10 +50,10 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where they don't find it on their path."""
+    """Lets Python workers import this package: on a cluster always, in local mode where it isn't on their path."""
     known = [os.path.realpath(p or ".") for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]]
     sc = spark.sparkContext
-    if str(ROOT) not in known and getattr(sc, "_quillon_shipped", None) is None:
+    if (str(ROOT) not in known or not sc.master.startswith("local[")) and getattr(sc, "_quillon_shipped", None) is None:
         at = os.path.join(tempfile.mkdtemp(prefix="quillon-src-"), "quillon_src.zip")
         with zipfile.ZipFile(at, "w") as z:
             for p in sorted((ROOT / "quillon").rglob("*.py")):
