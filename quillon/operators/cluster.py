@@ -13,22 +13,63 @@ from quillon.functions.vectors import as_vector, squared_l2
 from quillon.operators.blocks import distances, matrix, nearest
 
 
+#: Rows times clusters times dimensions up to which one task trains the centroids in memory; beyond, Spark ML does.
+ONE_TASK = 500_000_000
+
+
+def kmeans(x: np.ndarray, clusters: int, seed: int, rounds: int) -> np.ndarray:
+    """k-means++ and Lloyd rounds until nothing moves, over rows in an order of their own; fewer centroids if there are fewer
+    different rows."""
+    x = x[np.lexsort(x.T[::-1])]
+    rng = np.random.default_rng(seed)
+    points = [x[rng.integers(len(x))]]
+    left = distances(x, points[0][None])[:, 0]
+    while len(points) < clusters and (total := left.sum()) > 0:
+        points.append(x[min(len(x) - 1, int(np.searchsorted(np.cumsum(left), rng.random() * total, side="right")))])
+        left = np.minimum(left, distances(x, points[-1][None])[:, 0])
+    centers, old = np.array(points), None
+    for _ in range(rounds):
+        at = nearest(x, centers)
+        if old is not None and (at == old).all():
+            break
+        old, n = at, np.bincount(at, minlength=len(centers))
+        sums = np.stack([np.bincount(at, weights=x[:, d], minlength=len(centers)) for d in range(x.shape[1])], axis=1)
+        centers[n > 0] = sums[n > 0] / n[n > 0, None]
+    return centers
+
+
 def train_centroids(training: DataFrame, clusters: int, seed: int = 42, rounds: int = 20, vec_col: str = "vec") -> DataFrame:
-    """(cluster_id, centroid) by k-means|| and Lloyd rounds over a bounded sample. Not more clusters than different rows."""
+    """(cluster_id, centroid) from a bounded sample, in one task if that is small work, else by k-means|| of Spark ML. Not more
+    clusters than different rows."""
+    if clusters < 1:
+        raise ValueError("at least one cluster is needed")
+    spark = training.sparkSession
+    rows = training.select(as_vector(F.col(vec_col)).alias("vec"))
+    size = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
+    if not size[0]:
+        raise ValueError("no vector to train on")
+    kind = "cluster_id int, centroid array<float>"
+    if size[0] * clusters * size[1] <= ONE_TASK:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [matrix(b.column(0), size[1]) for b in batches if b.num_rows]
+            if parts:
+                centers = kmeans(np.concatenate(parts), clusters, seed, rounds).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centers), dtype=np.int32)), pa.array(list(centers), pa.list_(pa.float32()))], ["cluster_id", "centroid"])
+
+        return rows.repartition(1).mapInArrow(run, kind)  # not coalesce, which would read the base in one task
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    if clusters < 1:
-        raise ValueError("at least one cluster is needed")
-    rows = training.select(as_vector(F.col(vec_col)).alias("vec")).cache()
+    rows = rows.cache()
     try:
-        found = rows.distinct().count()
-        if not found:
-            raise ValueError("no vector to train on")
-        points = [[float(x) for x in c] for c in KMeans(k=min(clusters, found), seed=seed, maxIter=rounds, featuresCol="v").fit(rows.select(array_to_vector("vec").alias("v"))).clusterCenters()] if min(clusters, found) > 1 else [np.array([r["vec"] for r in rows.limit(1_000_000).toLocalIterator()], np.float64).mean(axis=0).tolist()]
+        k = min(clusters, rows.distinct().count())
+        if k == 1:
+            return rows.limit(1).select(F.lit(0).alias("cluster_id"), F.col("vec").alias("centroid"))
+        model = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="v").fit(rows.select(array_to_vector("vec").alias("v")))
+        return spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], kind)
     finally:
         rows.unpersist()
-    return training.sparkSession.createDataFrame(list(enumerate(points)), "cluster_id int, centroid array<float>")
 
 
 def lloyd_step(base: DataFrame, centroids: DataFrame, id_col: str = "id", vec_col: str = "vec") -> DataFrame:

@@ -147,13 +147,15 @@ def build_index(base: DataFrame, name: str, clusters: int, id_col: str = "id", v
     rows = base.filter(F.col(id_col).isNotNull() & usable(vec, dim)).select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec"))
     if validate and rows.groupBy("id").count().filter("count > 1").limit(1).count():
         raise ValueError("ids repeat")
-    training = training_rows(rows, "id", share, seed, least, most)
+    training = training_rows(rows, "id", share, seed, least, most).persist()  # at most about `most` rows
     if centroids is None:
         centroids = cluster.train_centroids(training, clusters, seed)
     if codebooks is None:
         codebooks = quantize.train_codebooks(training, dim, subspaces, codewords)
     spark = base.sparkSession
     book, points = quantize.book_array(codebooks), cluster.centroid_array(centroids)
+    training.unpersist()
+    centroids = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(points)], "cluster_id int, centroid array<float>")
     fixed = spark.createDataFrame([(m, k, [float(x) for x in v]) for m, ks in enumerate(book) for k, v in enumerate(ks)], quantize.BOOK)
     index = Index(Settings(name, base_name, id_col, vec_col, dim, len(points), subspaces, book.shape[1]), base, centroids, fixed, entries(rows, book, points))
     index._book, index._points = book, points

@@ -114,6 +114,17 @@ def test_clusters(base):
         cluster.probed(points, ROWS[0][1], -1)
 
 
+def test_centroids_in_one_task_and_by_spark_ml(base, monkeypatch):
+    good = base.filter(vectors.usable(F.col("vec"), 16) & F.col("id").isNotNull())
+    x = np.array([v for _, v, _ in ROWS])
+    cost = lambda c: blocks.distances(x, cluster.centroid_array(c)).min(axis=1).sum()
+    small = cluster.train_centroids(good, 6)
+    assert (cluster.centroid_array(small) == cluster.centroid_array(cluster.train_centroids(good.repartition(7), 6))).all()
+    monkeypatch.setattr(cluster, "ONE_TASK", 0)
+    assert abs(cost(cluster.train_centroids(good, 6)) / cost(small) - 1) < 0.15
+    assert cluster.train_centroids(good.limit(1), 4).count() == 1
+
+
 def test_codebooks_don_t_depend_on_partitions(base):
     good = base.filter(vectors.usable(F.col("vec"), 16) & F.col("id").isNotNull())
     books = [quantize.book_array(quantize.train_codebooks(good.repartition(n), 16, 4, 16, 5)) for n in (1, 7)]
