@@ -4,8 +4,9 @@ Two public vocabularies measure every word of a text: one with byte fallback giv
 share of tokens that spell a word in bytes, and the mean entropy of the tokens in blocks of 64 (so that it doesn't rise with the
 length); a byte-level one gives a second figure of characters per token. The bands are medians of all documents of a language (lang; the script of the
 text where it is null) plus and minus a wide number of median deviations, but never narrower than fixed margins, so that
-ordinary prose stays and symbol noise, shouting, tables and repetition go. A band needs `least_docs` documents; smaller
-languages take that of the whole corpus.
+ordinary prose stays and symbol noise, shouting, tables and repetition go. Every language is judged by its own documents alone,
+however few; as few say little about the spread, a band of n documents is 1 + least_docs / n times as wide, which has no step at
+any size. A language of one or two documents is thus hardly judged beyond the base rules.
 
 Words over 512 characters are measured in segments of 512. Null texts have no word; repeated rows and doc_ids are judged row by
 row. An empty table gives no row.
@@ -124,29 +125,27 @@ def measured(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).mapInArrow(run, SCHEMA)
 
 
-def bands(rows: DataFrame, least_docs: int = 200, accuracy: int = 10_000) -> DataFrame:
-    """(band, <measure>_mid, <measure>_dev): medians and median deviations over all documents with a word."""
-    rows = rows.filter("n_words >= 50")
+def bands(rows: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """(of, n, <measure>_mid, <measure>_dev) for each band: medians and median deviations over all documents with a word."""
+    rows = rows.filter("n_words >= 50").select(F.col("band").alias("of"), *MEASURES)
     mids = [F.percentile_approx(m, 0.5, accuracy).alias(f"{m}_mid") for m in MEASURES]
-    both = rows.select(F.explode(F.array(F.col("band"), F.lit("all"))).alias("of"), *MEASURES)
-    mid = both.groupBy("of").agg(*mids, F.count("*").alias("n"))
+    mid = rows.groupBy("of").agg(*mids, F.count("*").alias("n"))
     devs = [F.percentile_approx(F.abs(F.col(m) - F.col(f"{m}_mid")), 0.5, accuracy).alias(f"{m}_dev") for m in MEASURES]
-    return both.join(mid, "of").groupBy("of").agg(*[F.first(f"{m}_mid").alias(f"{m}_mid") for m in MEASURES], F.first("n").alias("n"), *devs).filter((F.col("n") >= least_docs) | (F.col("of") == "all"))
+    return rows.join(mid, "of").groupBy("of").agg(*[F.first(f"{m}_mid").alias(f"{m}_mid") for m in MEASURES], F.first("n").alias("n"), *devs)
 
 
-def judged(docs: DataFrame, least_docs: int = 200, limits: dict = BANDS) -> DataFrame:
+def judged(docs: DataFrame, least_docs: int = 10, limits: dict = BANDS) -> DataFrame:
     """Counts, measures, base_failed and kept for each row of docs (doc_id, text, lang)."""
     rows = written(measured(docs), "quality-rows")
-    of = written(bands(rows, least_docs), "quality-bands")
-    named = rows.join(of.select(F.col("of").alias("band"), F.lit(True).alias("_own")), "band", "left")
-    met = named.withColumn("_of", F.when(F.col("_own"), F.col("band")).otherwise("all")).join(of.withColumnRenamed("of", "_of"), "_of", "left")
+    of = written(bands(rows), "quality-bands").withColumn("_wide", 1 + F.lit(least_docs) / F.col("n")).withColumnRenamed("of", "band")
+    met = rows.join(of, "band", "left")
     ok = F.lit(True)
     for m, (low, high) in limits.items():
         mid, dev = F.col(f"{m}_mid"), F.col(f"{m}_dev")
         if low:
-            ok &= F.col(m).isNull() | (F.col(m) >= mid - F.greatest(dev * low[0], F.lit(low[1])))
+            ok &= F.col(m).isNull() | (F.col(m) >= mid - F.col("_wide") * F.greatest(dev * low[0], F.lit(low[1])))
         if high:
-            ok &= F.col(m).isNull() | (F.col(m) <= mid + F.greatest(dev * high[0], F.lit(high[1])))
+            ok &= F.col(m).isNull() | (F.col(m) <= mid + F.col("_wide") * F.greatest(dev * high[0], F.lit(high[1])))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return met.select("doc_id", "text_hash", *COUNTS, *MEASURES, failed.alias("base_failed"), (~failed & F.coalesce(ok, F.lit(True))).alias("kept"))
 

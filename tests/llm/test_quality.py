@@ -64,6 +64,22 @@ def test_prose_stays_and_noise_goes(spark, none):
     assert all(got[i] for i in range(300)) and not any(got[i] for i in range(300, 303))
 
 
+def test_small_languages_have_their_own_bands(spark, none):
+    import random
+
+    rng = random.Random(3)
+    made = lambda parts: ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    prose = lambda vocab: " ".join(rng.choice(vocab) for _ in range(rng.randint(60, 120)))
+    latin, other = made(["an", "the", "re", "ous", "ing", "co", "er", "th"]), made(["კა", "ში", "მო", "რე", "ბა", "ლი", "თა", "ვის"])
+    data = [(i, prose(latin), "en", "s", 0) for i in range(400)]
+    for few, lang in ((1, "k1"), (2, "k2"), (5, "k5"), (40, "k40"), (60, "k60"), (30, None)):
+        data += [(len(data) + i, prose(other), lang, "s", 0) for i in range(few)]
+    noise = len(data)
+    data += [(noise, "".join(w + rng.choice(["$$$ ", "### ", "&&& ", "*** "]) for w in rng.sample(latin, 120)), "k40", "s", 0), (noise + 1, " | ".join(rng.sample(latin, 120)), "k60", "s", 0)]
+    got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(data, none.schema)).collect()}
+    assert all(got[i] for i in range(noise)) and not got[noise] and not got[noise + 1]
+
+
 def test_keep_and_empty(docs, none):
     kept = quality.keep(docs, least_docs=5)
     want = Counter((r.doc_id, r.n_words) for r in quality.judged(docs, least_docs=5).collect() if r.kept)
