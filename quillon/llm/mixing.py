@@ -1,27 +1,34 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Each source's documents, in doc_id order, form blocks of about `block_chars` code points (whole documents; a document belongs to
-the block in which it begins). Weights are shares of a period of `period` slots. Within the period, block j of a source with w
-slots may be placed from slot floor((j - 1) * period / w) on and must be placed before slot ceil(j * period / w); earliest
-deadline first fills the slots and meets every deadline, so at any slot a source has been given less than one block more or less
-than its share. The period repeats; a source that has run out leaves its slots empty, so every document is scheduled once.
-
-The driver schedules one period over the sources (each has a slot at least, so they are at most `period`); the documents'
-blocks come from a distributed prefix sum, so that no source has to fit one task. Null sources are one more source, null texts
-count no code points, null doc_ids come first; rows that repeat a doc_id each keep their place. An empty table gives no row.
+the block in which it begins). A source of share w of all weights may have block j (from 0) placed from slot floor(j / w) on and
+must have it placed before slot ceil((j + 1) / w), in exact rational arithmetic over the whole schedule; earliest deadline first
+fills the slots and meets every deadline, so at any slot a source that has blocks left has been given less than one block more or
+less than its share. A source that has run out leaves its slots empty, so every document is scheduled once. A source of weight
+zero comes after all others, without release and deadline. With `period`, the weights are first rounded to whole slots of a
+period, at least one each.
+
+The blocks come from a distributed prefix sum, so that no source has to fit one task; one task schedules, a step a block.
+Null sources are one more source, null texts count no code points, null doc_ids come first; rows that repeat a doc_id each keep
+their place. An empty table gives no row.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import prefix_sums
+from quillon.llm.common import prefix_sums, written
 
 BLOCK_CHARS, PERIOD, POWER = 65_536, 1000, 0.5
+LAST = (1 << 63) - 1  # numbers of slots beyond are written as this one
+PLAN = "_source string, _block long, _release long, _deadline long, _slot long"
 
 
 def slots_of(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -41,28 +48,63 @@ def slots_of(weights: dict[str | None, float], period: int = PERIOD) -> dict[str
     return slots
 
 
-def timetable(slots: dict[str | None, int], period: int = PERIOD) -> list[tuple[str | None, int, int, int, int]]:
-    """(source, block of the period from 0, release, deadline, slot), earliest deadline first among released blocks."""
-    if not slots:
-        return []
-    names = list(slots)
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = [Fraction(w) for w in weights]
+    scale = max((x.denominator for x in exact), default=1)  # of floats: powers of two
+    return [int(x * scale) for x in exact]
+
+
+def scheduled(shares: list[int], counts: list[int]) -> Iterator[tuple[int, int, int | None, int | None, int]]:
+    """(source, block, release, deadline, slot), earliest deadline first among released blocks; memory goes with the sources."""
+    total, t = sum(shares), 0
     due: list[tuple[int, int, int]] = []
-    later = [(0, k, 0) for k in range(len(names))]
-    heapq.heapify(later)
-    out = []
-    for t in range(period):
+    later = [(0, k, 0) for k, n in enumerate(counts) if n and shares[k]]
+    while due or later:
+        if not due:
+            t = max(t, later[0][0])
         while later and later[0][0] <= t:
             _, k, j = heapq.heappop(later)
-            due_at = -(-(j + 1) * period // slots[names[k]])
-            heapq.heappush(due, (due_at, k, j))
-        if not due:
-            continue
+            heapq.heappush(due, (-(-(j + 1) * total // shares[k]), k, j))
         deadline, k, j = heapq.heappop(due)
-        w = slots[names[k]]
-        out.append((names[k], j, j * period // w, deadline, t))
-        if j + 1 < w:
-            heapq.heappush(later, ((j + 1) * period // w, k, j + 1))
-    return out
+        yield k, j, j * total // shares[k], deadline, t
+        t += 1
+        if j + 1 < counts[k]:
+            heapq.heappush(later, ((j + 1) * total // shares[k], k, j + 1))
+    for k, n in enumerate(counts):
+        for j in range(0 if shares[k] else n):
+            yield k, j, None, None, t
+            t += 1
+
+
+def timetable(slots: dict[str | None, int], period: int = PERIOD) -> list[tuple[str | None, int, int, int, int]]:
+    """(source, block of the period from 0, release, deadline, slot) of one period whose slots are all given."""
+    names, counts = list(slots), list(slots.values())
+    return [(names[k], *rest) for k, *rest in scheduled(counts, counts)]
+
+
+def plan(sources: DataFrame) -> DataFrame:
+    """A row for each block of sources (source, weight, blocks), made by one task that keeps the sources and streams the blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r[0] is not None, r[0]))
+        names, weights, counts = zip(*rows) if rows else ((), (), ())
+        held: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            of, *numbers = zip(*held)
+            cut = [[x if x is None else min(x, LAST) for x in c] for c in numbers]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([names[k] for k in of], pa.string()), *[pa.array(c, pa.int64()) for c in cut]], ["_source", "_block", "_release", "_deadline", "_slot"])
+
+        for row in scheduled(whole(weights), counts):
+            held.append(row)
+            if len(held) == 16_384:
+                yield batch()
+        if held:
+            yield batch()
+
+    return written(sources.coalesce(1).mapInArrow(run, PLAN), "mixing-plan")
 
 
 def source_weights(docs: DataFrame, power: float = POWER) -> dict[str | None, float]:
@@ -71,23 +113,23 @@ def source_weights(docs: DataFrame, power: float = POWER) -> dict[str | None, fl
     return {r["source"]: float(r["n"]) ** power for r in sums.limit(PERIOD * 100).collect()}
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, period: int | None = None) -> DataFrame:
     """(doc_id, source, block, release, deadline, slot, position): position numbers the rows in schedule order from 0."""
     spark = docs.sparkSession
     weights = source_weights(docs) if weights is None else weights
-    slots = slots_of(weights, period)
+    if weights and (min(weights.values()) < 0 or sum(weights.values()) <= 0):
+        raise ValueError("weights are at least zero, and one is above")
+    shares = slots_of(weights, period) if period else weights
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), F.xxhash64("text").alias("tie")]
     begun = prefix_sums(docs.select(*columns), ["doc_id", "tie"], "n", "source", "mixing-blocks")
-    plan = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_in_period", T.LongType()), T.StructField("_release", T.LongType()), T.StructField("_deadline", T.LongType()), T.StructField("_slot", T.LongType())])
-    times = spark.createDataFrame(timetable(slots, period), plan)  # period rows at most
-    shares = spark.createDataFrame(list(slots.items()), "_of string, _w long")
     blocks = begun.withColumn("block", F.floor(F.col("before") / F.lit(block_chars)).cast("long"))
-    counted = blocks.join(F.broadcast(shares), blocks["source"].eqNullSafe(shares["_of"]))
-    met = counted.join(F.broadcast(times), counted["source"].eqNullSafe(times["_source"]) & (F.expr("pmod(block, _w)") == times["_in_period"]))
-    base = F.expr("block div _w") * F.lit(period)
-    timed = met.select("doc_id", "source", "tie", "before", "block", (base + F.col("_release")).alias("release"), (base + F.col("_deadline")).alias("deadline"), (base + F.col("_slot")).alias("slot"), F.lit(1).cast("long").alias("one"))
-    placed = prefix_sums(timed.select("slot", F.col("before").alias("at"), "doc_id", "tie", "source", "block", "release", "deadline", "one"), ["slot", "at", "doc_id", "tie"], "one", name="mixing-order")
-    return placed.select("doc_id", "source", "block", "release", "deadline", "slot", F.col("before").alias("position"))
+    given = spark.createDataFrame([(s, float(w)) for s, w in shares.items()], "_of string, weight double")
+    counts = blocks.groupBy("source").agg((F.max("block") + 1).alias("blocks"))
+    times = plan(given.join(counts, counts["source"].eqNullSafe(given["_of"])).select("source", "weight", "blocks"))
+    met = blocks.join(times, blocks["source"].eqNullSafe(times["_source"]) & (blocks["block"] == times["_block"]))
+    timed = met.select("_slot", F.col("before").alias("at"), "doc_id", "tie", "source", "block", "_release", "_deadline", F.lit(1).cast("long").alias("one"))
+    placed = prefix_sums(timed, ["_slot", "at", "doc_id", "tie"], "one", name="mixing-order")
+    return placed.select("doc_id", "source", "block", F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"), F.col("before").alias("position"))
 
 
 def in_order(docs: DataFrame, **params: object) -> DataFrame:

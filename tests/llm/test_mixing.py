@@ -55,3 +55,17 @@ def test_rows_stay_whole(docs, rows, none, tmp_path):
 def test_too_many_sources():
     with pytest.raises(ValueError):
         mixing.slots_of({str(i): 1.0 for i in range(11)}, 10)
+
+
+def test_never_a_block_from_the_given_weights(spark, none):
+    weights = {"a": 14.0, None: 0.3, "z": 1.0, **{f"s{i}": 1.0 + i for i in range(9)}}
+    total = sum(weights.values())
+    rows = [(i, "x" * 10, "en", s, 10) for s, w in weights.items() for i in range(int(60 * w))] + [(i, "x" * 10, "en", "zero", 10) for i in range(3)]
+    got = sorted(mixing.mixed(spark.createDataFrame(rows, none.schema), {**weights, "zero": 0.0}, block_chars=10).collect(), key=lambda r: r.position)
+    assert len(got) == len(rows) and [r.source for r in got[-3:]] == ["zero"] * 3
+    left, given = Counter(r[3] for r in rows), Counter()
+    for r in got[:-3]:
+        assert r.block == given[r.source] and r.release <= r.slot < r.deadline
+        given[r.source] += 1
+        for s, w in weights.items():
+            assert given[s] == left[s] or abs(given[s] - w / total * (r.slot + 1)) < 1 + 1e-6
