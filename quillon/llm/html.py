@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import texts
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*>", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "select", "object", "canvas", "audio", "video", "button", "noembed", "noframes", "xmp", "datalist"}
@@ -111,9 +111,6 @@ def _leaf(page: Page, parent: int, text: str, linked: int) -> None:
 
 def parse(html: str) -> Page:
     page = Page()
-    opened = html.rfind("<!--")
-    if opened >= 0 and html.find("-->", opened) < 0:  # a comment that is never closed
-        html = html[:opened]
     stack: list[tuple[str, int]] = [("", 0)]
     run: list[str] = []
     linked, links, at, n = 0, 0, 0, len(html)
@@ -138,12 +135,15 @@ def parse(html: str) -> Page:
     while at < n:
         m = TOKEN.search(html, at, last) if at < last else None
         if m is None:
-            add(html[at:])
+            opened = html.find("<!--", at)
+            add(html[at : n if opened < 0 else opened])
             break
         if m.start() > at:
             add(html[at : m.start()])
         at = m.end()
         if not m[2]:
+            if html.startswith("<!--", m.start()) and not html.endswith("-->", m.start() + 2, at) and not html.endswith("--!>", m.start() + 4, at):
+                break  # a comment that is never closed
             continue
         tag, end = m[2].lower(), bool(m[1])
         if tag == "a":

@@ -52,6 +52,16 @@ def test_broken_and_odd_markup():
     assert [t for t in html.parse("<p>a&nbsp;b <b>c</b>d</p>e<br>f<div>g</div>").text if t] == ["a b cd", "e f", "g"]
 
 
+def test_only_an_open_comment_ends_a_page():
+    runs = lambda page: [t for t in html.parse(page).text if t]
+    for head in ["<script>var s='<!--';</script>", "<script><!-- code </script>", "<style><!-- p{} </style>", "<textarea><!-- x</textarea>", "<p title='<!--'></p>", "<!-->", "<!--->", "<!-- x --!>", "<!-- x -->"]:
+        assert runs(f"{head}<p>a</p><p>b</p>") == ["a", "b"]
+        assert html.main_text(PAGE.replace("<style>", head + "<style>", 1), html.trained()) == TEXT
+        for tail in ["<!-- c", "<!-- c <p>d</p>", "<!--", "<!-- c <p>d</p> e <!-- f"]:
+            assert runs(f"{head}<p>a</p><p>b</p>{tail}") == ["a", "b"]
+    assert runs("<p>a</p>" + "<!-- " * 100_000 + "<p>b</p>") == ["a"]
+
+
 def test_query(spark, tmp_path):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", ""), (3, "w", PAGE.replace("<article>", '<div class="post">').replace("</article>", "</div>"))]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
