@@ -107,25 +107,23 @@ def plan(sources: DataFrame) -> DataFrame:
     return written(sources.coalesce(1).mapInArrow(run, PLAN), "mixing-plan")
 
 
-def source_weights(docs: DataFrame, power: float = POWER) -> dict[str | None, float]:
-    """Target weights from the corpus: each source's code points to a power below one, which lifts small sources."""
-    sums = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1).alias("n"))
-    return {r["source"]: float(r["n"]) ** power for r in sums.limit(PERIOD * 100).collect()}
-
-
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, period: int | None = None) -> DataFrame:
-    """(doc_id, source, block, release, deadline, slot, position): position numbers the rows in schedule order from 0."""
+    """(doc_id, source, block, release, deadline, slot, position): position numbers the rows in schedule order from 0.
+
+    Without weights, a source's weight is its code points (one more a document) to a power below one, which lifts small sources;
+    there may be any number of sources. Only given weights can be rounded to a period."""
     spark = docs.sparkSession
-    weights = source_weights(docs) if weights is None else weights
     if weights and (min(weights.values()) < 0 or sum(weights.values()) <= 0):
         raise ValueError("weights are at least zero, and one is above")
-    shares = slots_of(weights, period) if period else weights
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), F.xxhash64("text").alias("tie")]
     begun = prefix_sums(docs.select(*columns), ["doc_id", "tie"], "n", "source", "mixing-blocks")
     blocks = begun.withColumn("block", F.floor(F.col("before") / F.lit(block_chars)).cast("long"))
-    given = spark.createDataFrame([(s, float(w)) for s, w in shares.items()], "_of string, weight double")
-    counts = blocks.groupBy("source").agg((F.max("block") + 1).alias("blocks"))
-    times = plan(given.join(counts, counts["source"].eqNullSafe(given["_of"])).select("source", "weight", "blocks"))
+    sources = blocks.groupBy("source").agg(F.pow(F.sum(F.col("n") + 1), F.lit(POWER)).alias("weight"), (F.max("block") + 1).alias("blocks"))
+    if weights is not None:
+        shares = slots_of(weights, period) if period else weights
+        given = spark.createDataFrame([(s, float(w)) for s, w in shares.items()], "_of string, _weight double")
+        sources = sources.join(given, sources["source"].eqNullSafe(given["_of"])).select("source", F.col("_weight").alias("weight"), "blocks")
+    times = plan(sources)
     met = blocks.join(times, blocks["source"].eqNullSafe(times["_source"]) & (blocks["block"] == times["_block"]))
     timed = met.select("_slot", F.col("before").alias("at"), "doc_id", "tie", "source", "block", "_release", "_deadline", F.lit(1).cast("long").alias("one"))
     placed = prefix_sums(timed, ["_slot", "at", "doc_id", "tie"], "one", name="mixing-order")

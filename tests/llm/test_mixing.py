@@ -69,3 +69,12 @@ def test_never_a_block_from_the_given_weights(spark, none):
         given[r.source] += 1
         for s, w in weights.items():
             assert given[s] == left[s] or abs(given[s] - w / total * (r.slot + 1)) < 1 + 1e-6
+
+
+def test_more_sources_than_a_period(spark, none):
+    rows = [(i, "x" * (1 + i % 7), "en", f"s{i % 1500}", 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, none.schema)
+    got = mixing.mixed(docs, block_chars=4).collect()
+    assert sorted(r.position for r in got) == list(range(3000)) and {r.doc_id for r in got} == set(range(3000))
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    assert mixing.in_order(docs).count() == 3000
