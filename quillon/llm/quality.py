@@ -2,7 +2,8 @@
 
 Two public vocabularies measure every word of a text: one with byte fallback gives tokens per word, characters per token, the
 share of tokens that spell a word in bytes, and the mean entropy of the tokens in blocks of 64 (so that it doesn't rise with the
-length); a byte-level one gives a second figure of characters per token. The bands are medians of all documents of a language (lang; the script of the
+length); a byte-level one gives a second figure of characters per token. The bands are medians of all documents of 50 or more words (the
+others fail the base rules) of a language (lang; the script of the
 text where it is null) plus and minus a wide number of median deviations, but never narrower than fixed margins, so that
 ordinary prose stays and symbol noise, shouting, tables and repetition go. Every language is judged by its own documents alone,
 however few; as few say little about the spread, a band of n documents is 1 + least_docs / n times as wide, which has no step at
@@ -126,7 +127,7 @@ def measured(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> DataF
 
 
 def bands(rows: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """(of, n, <measure>_mid, <measure>_dev) for each band: medians and median deviations over all documents with a word."""
+    """(of, n, <measure>_mid, <measure>_dev) for each band: medians and median deviations over the documents of 50 words or more."""
     rows = rows.filter("n_words >= 50").select(F.col("band").alias("of"), *MEASURES)
     mids = [F.percentile_approx(m, 0.5, accuracy).alias(f"{m}_mid") for m in MEASURES]
     mid = rows.groupBy("of").agg(*mids, F.count("*").alias("n"))
