@@ -1,15 +1,20 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page becomes a tree: block elements, and leaves for the text runs between block boundaries (inline elements don't part a run;
-br is white space in it). Each node is content or not. A node's potential comes from its tag, the words of its class, id and
-role, and for leaves the run's length, punctuation and share of links; each parent-child edge has a potential of both labels,
-by the kind of child. Messages passed up and then down the tree (sum-product, exact on a tree) give each node's marginal. All
-potentials are trained by gradient on the conditional likelihood of labelled pages; these are made by `labelled_pages`, whose
-templates mark each run as article or not, and training takes a second or two on the driver. Runs with a marginal of one half
-or more are the text, in page order.
+br is white space in it). Each node is content or not. A node's potential comes from its tag, from the words of its class, id and
+role (told apart by whether the element holds the page's title or, in several runs, most of its prose, since layouts and topics are named with the
+same words as side matters), from what lies below it, from a heading like "3 comments" before it, and for leaves from the run's
+length, punctuation, share of links and place. Each parent-child edge has a potential of both labels, by the kind of child.
+Messages passed up and then down the tree (sum-product, exact on a tree) give each node's marginal. All potentials are trained by
+gradient on the conditional likelihood of labelled pages; these are made by `labelled_pages`, whose templates mark each run as
+article or not, and training, level by level over all pages at once, takes a few seconds on the driver. Runs with a marginal of one
+half or more are the text, in page order.
 
 Null and empty html give an empty text, as does html without a content run; markup may be broken. Scripts, styles, titles,
-comments and the like never become runs. Repeated rows, page_ids and null ids are extracted row by row. An empty table gives no row.
+comments and the like never become runs; a comment or script that is never closed runs to the end of the page. Very long pages are
+parsed whole, in time that grows with their length. A marginal of exactly one half (a tie) counts as content. Repeated rows,
+page_ids and null ids are extracted row by row; only page_id, url and html are read, so further columns of any name don't matter.
+An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import texts
 
-TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>|</?[a-zA-Z][^>]*+>", re.S)
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "select", "object", "canvas", "audio", "video", "button", "noembed", "noframes", "xmp", "datalist"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -36,9 +41,10 @@ SPACES = set("br wbr img input hr".split())
 VOID = set("area base col embed link meta param source track".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "option": ("option",)}
 SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "aside", "nav", "body", "main"}
+HEADINGS = {f"h{i}" for i in range(1, 7)}
 CLOSE = {t: re.compile(f"</{t}(?![a-zA-Z0-9-])", re.I) for t in RAW}
 TAGS = {t: i for i, ts in enumerate(["article", "main", "nav", "header", "footer", "aside", "form fieldset dialog menu", "section", "div", "p", "h1", "h2 h3 h4 h5 h6", "li dt dd", "ul ol dl", "table thead tbody tr td th caption", "figure figcaption", "blockquote pre", "html body head"]) for t in ts.split()}
-STRONG = {"nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu", "article", "main"}
+WHOLE, SIDE_TAGS = {"article", "main"}, {"nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu"}
 NAMED = [
     "article post entry story main content body text prose chapter",
     "nav navigation navbar menu menubar breadcrumb breadcrumbs pagination pager toc skip tabs toolbar",
@@ -52,69 +58,75 @@ NAMED = [
     "share sharing social follow meta byline tags tag categories author bio date time print",
 ]
 WORD_GROUP = {w: i for i, ws in reversed(list(enumerate(NAMED))) for w in ws.split()}
+#: Headings (or lines of their own) after which their parent holds reader comments, or other stories and the like.
+COMMENTS_HEAD = re.compile(r"\W*(?:no|one|\d+|leave an?|post an?|add an?|join the|reader|readers'?|your|show|view|all)?\W*(?:comments?|responses?|repl(?:y|ies)|thoughts? on\b.*|discussion|conversation|feedback|what (?:do )?(?:you|readers) (?:think|say)|kommentare?|antworten|commentaires?|réponses?|comentarios?|respuestas?)\W*(?:\d+|below)?\W*", re.I)
+OTHERS_HEAD = re.compile(r"\W*(?:related|recommended|more|further|similar|popular|trending|latest|most|you (?:may|might)|also (?:on|in|by)|read (?:next|more|also)|up next|share|follow|about the author|tags?|categories|filed under|newsletter|subscribe|sign up|advertisement|sponsored|ähnliche|mehr|weitere|à lire|voir aussi|articles liés|relacionad[oa]s|más)\b.{0,40}", re.I)
+PATTERNS = [
+    re.compile(r"©|\(c\)|all rights reserved|copyright", re.I),
+    re.compile(r"\bcookies?\b|\bconsent\b|\bgdpr\b", re.I),
+    re.compile(r"\W*(?:advertisement|advert|ad|sponsored|promoted|anzeige|werbung|publicité|publicidad)\b", re.I),
+    re.compile(r"\b(?:reply|says|wrote|said)\W*$|\b(?:posted|written) by\b|\bpermalink\b|\b(?:minutes?|hours?|days?|weeks?|months?) ago\b|^by [A-Z]", re.I),
+    re.compile(r"\b(?:subscribe|newsletter|sign up|log ?in|inbox|sign in|your e-?mail)\b", re.I),
+    re.compile(r"\b(?:share|tweet|facebook|twitter|print|follow us|filed under|tagged)\b", re.I),
+    re.compile(r"\b(?:19|20)\d\d\b|\b\d{1,2}:\d\d\b"),
+]
 N_TAGS, N_NAMES = len(set(TAGS.values())) + 1, len(NAMED)
-LEAF = N_TAGS + N_NAMES
-#: bias; tag; groups of names; hidden; leaf: bias, four lengths, ends a sentence, comma, three shares of links, sign of rights,
-#: and which of these are above it: an article, an element that parts pages otherwise, an element named like a side matter.
-N_FEATURES = 1 + N_TAGS + N_NAMES + 1 + 11 + 8
-KINDS = 4  # of edges: to a leaf, to an element that parts pages, to a named element, to another
-RIGHTS = re.compile(r"©|\(c\)|all rights reserved|copyright", re.I)
+#: Features: bias; tag; names by what their element holds (4); hidden; of elements: share of prose (4), sentences (4), links (3),
+#: holds the title, both heads; of leaves: bias, length (4), ends a sentence, comma, links (3), place (3), what is above (16), both
+#: heads, share of prose (3), patterns in short runs and in very short ones.
+HIDDEN = 1 + N_TAGS + 4 * N_NAMES
+ELEMENT = HIDDEN + 1
+LEAF = ELEMENT + 14
+N_FEATURES = LEAF + 10 + 3 + 16 + 2 + 3 + 2 * len(PATTERNS)
+KINDS = 5  # of edges: to a lone leaf, to an element that parts pages, to a named element, to another, to a leaf with siblings
+END = ".!?…:;\"'”»)"
 
 
 class Page:
     """Parallel lists of nodes in document order, so that a parent comes before its children."""
 
     def __init__(self) -> None:
-        self.parent, self.features, self.kind, self.text, self.above = [-1], [[0, N_TAGS]], [3], [""], [0]
-
-
-def _element(page: Page, parent: int, tag: str, attributes: str) -> int:
-    found, kind = [0, 1 + TAGS.get(tag, N_TAGS - 1)], 1 if tag in STRONG else 3
-    if "=" in attributes or "hidden" in attributes:
-        groups = set()
+        self.parent, self.kind, self.text = [-1], [3], [""]
+        self.tag, self.groups, self.linked, self.head = [""], [()], [0], [0]
+        self.features: list[list[int]] = []
+
+    def add(self, parent: int, kind: int, tag: str, groups: tuple[int, ...], text: str, linked: int, head: int) -> int:
+        self.parent.append(parent)
+        self.kind.append(kind)
+        self.tag.append(tag)
+        self.groups.append(groups)
+        self.text.append(text)
+        self.linked.append(linked)
+        self.head.append(head)
+        return len(self.parent) - 1
+
+
+def _groups(attributes: str) -> tuple[int, ...]:
+    """Groups of the names in an element's attributes; N_NAMES stands for hidden."""
+    groups = set()
+    if "=" in attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values)
             if name in ("class", "id", "role", "itemprop", "aria-label", "data-role"):
                 groups |= {WORD_GROUP[w] for x in NAME_WORD.findall(value) if (w := x.lower()) in WORD_GROUP}
             elif name == "style" and "display" in value and "none" in value or name == "aria-hidden" and value == "true":
                 groups.add(N_NAMES)
-        if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes):
-            groups.add(N_NAMES)
-        found += [1 + N_TAGS + g for g in groups]
-        kind = 2 if groups and kind == 3 else kind
-    above = page.above[parent] | (tag in ("article", "main")) | 2 * (kind == 1 and tag not in ("article", "main"))
-    page.above.append(above | 4 * any(2 + N_TAGS <= f < 2 + N_TAGS + N_NAMES for f in found))
-    page.parent.append(parent)
-    page.features.append(found)
-    page.kind.append(kind)
-    page.text.append("")
-    return len(page.parent) - 1
-
-
-def _leaf(page: Page, parent: int, text: str, linked: int) -> None:
-    base, words = 2 + N_TAGS + N_NAMES, text.count(" ") + 1
-    share = linked / len(text)
-    found = [base, base + 1 + (words > 3) + (words > 10) + (words > 30), base + 7 + (share > 0.2) + (share > 0.7)]
-    if text[-1] in ".!?…:;\"'”»)":
-        found.append(base + 5)
-    if ", " in text:
-        found.append(base + 6)
-    if RIGHTS.search(text):
-        found.append(base + 10)
-    found.append(base + 11 + page.above[parent])
-    page.above.append(0)
-    page.parent.append(parent)
-    page.features.append(found)
-    page.kind.append(0)
-    page.text.append(text)
+    if "hidden" in attributes and re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes):
+        groups.add(N_NAMES)
+    return tuple(groups)
 
 
 def parse(html: str) -> Page:
+    """The tree of a page, in time that grows with its length."""
     page = Page()
     stack: list[tuple[str, int]] = [("", 0)]
+    places: dict[str, list[int]] = {}  # of each open tag: where it stands in the stack
+    scopes = [0]  # where the open elements stand that implied ends don't cross
+    heads: list[tuple[int, int]] = [(0, 9)]  # of each open element: which head came in it, and of which level
     run: list[str] = []
     linked, links, at, n = 0, 0, 0, len(html)
     last = html.rfind(">") + 1  # no markup ends beyond, so nothing is searched there again and again
+    unclosed: set[str] = set()  # raw elements that no further tag closes
 
     def flush() -> None:
         nonlocal linked
@@ -122,7 +134,15 @@ def parse(html: str) -> Page:
             text = "".join(run)
             text = " ".join((unescape(text) if "&" in text else text).split())
             if text:
-                _leaf(page, stack[-1][1], text, linked)
+                tag, node = stack[-1]
+                page.add(node, 0, tag, (), text, linked, heads[-1][0])
+                heading = tag in HEADINGS
+                if heading or len(text) < 40:
+                    level = int(tag[1]) if heading else 8
+                    bits = 0 if not heading and text[-1] in ".!?" else 1 if COMMENTS_HEAD.fullmatch(text) else 2 if (heading or len(text) < 25) and OTHERS_HEAD.fullmatch(text) else 0
+                    up = len(stack) - 1 - (heading or tag in ("p", "b"))
+                    if up >= 0 and (bits or heading and level <= heads[up][1]):
+                        heads[up] = (bits, level if bits else 9)
             run.clear()
         linked = 0
 
@@ -132,6 +152,13 @@ def parse(html: str) -> Page:
         if links:
             linked += len(text)
 
+    def pop(k: int) -> None:
+        for tag, _ in stack[k:]:
+            places[tag].pop()
+        while scopes[-1] >= k:
+            scopes.pop()
+        del stack[k:], heads[k:]
+
     while at < n:
         m = TOKEN.search(html, at, last) if at < last else None
         if m is None:
@@ -158,8 +185,9 @@ def parse(html: str) -> Page:
             pass
         elif tag in RAW:
             if not end and not m[3].endswith("/"):
-                stop = CLOSE[tag].search(html, at)
+                stop = None if tag in unclosed else CLOSE[tag].search(html, at)
                 if stop is None:  # never closed: a script swallows the rest, other elements only themselves
+                    unclosed.add(tag)
                     at = n if tag in ("script", "style", "textarea", "title", "xmp") else at
                 else:
                     close = html.find(">", stop.end())
@@ -169,36 +197,129 @@ def parse(html: str) -> Page:
             flush()
             links = 0
             if end:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if places.get(tag):
+                    pop(places[tag][-1])
             else:
                 if tag in IMPLIED:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in IMPLIED[tag]:
-                            del stack[k:]
-                            if tag not in ("tr", "tbody"):
-                                break
-                        elif stack[k][0] in SCOPE:
+                    while (k := max((places[t][-1] for t in IMPLIED[tag] if places.get(t)), default=0)) > scopes[-1]:
+                        pop(k)
+                        if tag not in ("tr", "tbody"):
                             break
-                elif stack[-1][0] == "p":
-                    stack.pop()
-                elif tag[0] == "h" and len(tag) == 2 and stack[-1][0][:1] == "h" and len(stack[-1][0]) == 2 and tag[1].isdigit():
-                    stack.pop()
-                stack.append((tag, _element(page, stack[-1][1], tag, m[3])))
+                elif stack[-1][0] == "p" or tag in HEADINGS and stack[-1][0] in HEADINGS:
+                    pop(len(stack) - 1)
+                groups = _groups(m[3]) if m[3] else ()
+                kind = 1 if tag in SIDE_TAGS or tag in WHOLE else 2 if groups else 3
+                node = page.add(stack[-1][1], kind, tag, groups, "", 0, heads[-1][0])
+                places.setdefault(tag, []).append(len(stack))
+                if tag in SCOPE:
+                    scopes.append(len(stack))
+                stack.append((tag, node))
+                heads.append((0, 9))
     flush()
+    _describe(page)
     return page
 
 
+def _title(page: Page) -> int:
+    """The leaf that is most likely the title: a heading outside side matters, h1 before h2; -1 if there is none."""
+    best, found = 9, -1
+    under = [0] * len(page.parent)
+    for i in range(1, len(under)):
+        above, tag = under[page.parent[i]], page.tag[i]
+        if not page.text[i]:
+            side = 1 if tag in ("nav", "aside", "footer", "form", "dialog") else 2 if tag == "header" or 7 in page.groups[i] else 4 if tag in WHOLE else 0
+            under[i] = above | side
+        elif tag in ("h1", "h2") and not above & 1 and not page.head[i] and not COMMENTS_HEAD.fullmatch(page.text[i]) and not OTHERS_HEAD.fullmatch(page.text[i]):
+            rank = (0 if tag == "h1" else 2) + (0 if not above & 2 else 1 if above & 4 else 4)
+            if rank < best:
+                best, found = rank, i
+    return found
+
+
+def _describe(page: Page) -> None:
+    """Features of all nodes, from what is below and above them."""
+    n, title = len(page.parent), _title(page)
+    children = [0] * n
+    for p in page.parent[1:]:
+        children[p] += 1
+    chars, linked, prose, sentences, runs, holds = [0] * n, list(page.linked), [0] * n, [0] * n, [0] * n, [False] * n
+    for i in range(n - 1, -1, -1):
+        if page.text[i]:
+            text = page.text[i]
+            size = chars[i] = len(text)
+            full = text[-1] in END and size > 20
+            sentences[i], runs[i] = int(full), 1
+            prose[i] = size if (full or size > 80) and page.linked[i] * 5 < size else 0
+            holds[i] = i == title
+        if i:
+            p = page.parent[i]
+            chars[p] += chars[i]
+            linked[p] += linked[i]
+            prose[p] += prose[i]
+            sentences[p] += sentences[i]
+            runs[p] += runs[i]
+            holds[p] = holds[p] or holds[i]
+    mass = prose if prose[0] else chars
+    whole = mass[0] or 1
+    above, head = [0] * n, [0] * n
+    for i in range(n):
+        p, kind = page.parent[i], page.kind[i]
+        over = above[p] if i else 0
+        heads = head[i] = (head[p] if i else 0) | page.head[i]
+        found: list[int]
+        if not page.text[i]:
+            big = 2 * mass[i] > whole
+            groups, tag = page.groups[i], page.tag[i]
+            found = [0, 1 + TAGS.get(tag, N_TAGS - 1)]
+            part = holds[i] + 2 * (big and runs[i] > 2)
+            for g in groups:
+                found.append(HIDDEN if g == N_NAMES else 1 + N_TAGS + 4 * g + part)
+            at = ELEMENT
+            found.append(at + (0 if not mass[i] else 1 if 10 * mass[i] < whole else 2 if not big else 3))
+            s = sentences[i]
+            found.append(at + 4 + (0 if not s else 1 if s < 2 else 2 if s < 5 else 3))
+            found.append(at + 8 + ((5 * linked[i] > chars[i]) + (5 * linked[i] > 3 * chars[i]) if chars[i] else 2))
+            if holds[i]:
+                found.append(at + 11)
+            found += [at + 12 + b for b in (0, 1) if heads & (1 << b)]
+            if tag in WHOLE:
+                over |= 1
+            if not part:
+                if tag in SIDE_TAGS:
+                    over |= 2
+                if any(0 < g < N_NAMES for g in groups):
+                    over |= 4
+            elif kind == 2:
+                page.kind[i] = 3
+            if 0 in groups:
+                over |= 8
+            above[i] = over
+        else:
+            text, at = page.text[i], LEAF
+            words, share = text.count(" ") + 1, page.linked[i] / len(text)
+            found = [at, at + 1 + (words > 3) + (words > 10) + (words > 30), at + 7 + (share > 0.2) + (share > 0.7)]
+            if text[-1] in END:
+                found.append(at + 5)
+            if ", " in text:
+                found.append(at + 6)
+            found.append(at + 10 + (2 if title < 0 else i < title))
+            found.append(at + 13 + over)
+            found.append(at + 31 + (10 * mass[i] > whole) + (10 * mass[i] > 3 * whole))
+            page.kind[i] = 4 * (children[p] > 1)
+            found += [at + 29 + b for b in (0, 1) if heads & (1 << b)]
+            if len(text) < 200:  # longer runs are prose, whatever they speak of
+                found += [at + 34 + 2 * k + (len(text) < 60) for k, p in enumerate(PATTERNS) if (p.match if k == 2 else p.search)(text)]
+        page.features.append(found)
+
+
 class Tree:
-    """Potentials' weights; log-domain sum-product over one page at a time."""
+    """Potentials' weights; sum-product over one page at a time."""
 
     def __init__(self, node: np.ndarray, edge: np.ndarray) -> None:
         self.node, self.edge = node, edge  # (features,) for content against not; (kinds, parent label, child label)
 
     def beliefs(self, page: Page) -> tuple[list[float], list[tuple[float, float, float, float]]]:
-        """Log odds of content for each node, and for each the pair marginal with its parent: (00, 01, 10, 11), parent first."""
+        """Probability of content for each node, and for each the pair marginal with its parent: (00, 01, 10, 11), parent first."""
         w, parent, n = self.node.tolist(), page.parent, len(page.parent)
         tables = [[np.exp(x).tolist() for x in t] for t in self.edge]
         score = [sum(map(w.__getitem__, f)) for f in page.features]
@@ -233,12 +354,47 @@ class Tree:
         return [b / (a + b) for a, b in full], pairs
 
 
+class Forest:
+    """The trees of many pages in one numbering, with messages passed level by level; for training."""
+
+    def __init__(self, pages: list[Page]) -> None:
+        starts = np.cumsum([0, *(len(p.parent) for p in pages)])
+        self.parent = np.concatenate([np.array(p.parent) + s for p, s in zip(pages, starts)])
+        self.kind = np.concatenate([np.array(p.kind) for p in pages])
+        self.roots = starts[:-1]
+        self.parent[self.roots] = self.roots
+        depth = np.zeros(len(self.parent), int)
+        for i, p in enumerate(self.parent.tolist()):
+            depth[i] = depth[p] + (p != i)
+        self.levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+        features = [f for p in pages for f in p.features]
+        self.flat, self.of = np.concatenate([np.array(f) for f in features]), np.repeat(np.arange(len(features)), [len(f) for f in features])
+
+    def beliefs(self, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+        """As Tree.beliefs: (nodes,) and (nodes, parent label, child label)."""
+        n = len(self.parent)
+        inside, up = np.zeros((n, 2)), np.zeros((n, 2))
+        inside[:, 1] = np.clip(np.bincount(self.of, weights=tree.node[self.flat], minlength=n), -30, 30)
+        for at in reversed(self.levels):
+            q = tree.edge[self.kind[at]] + inside[at, None, :]
+            up[at] = np.logaddexp(q[:, :, 0], q[:, :, 1])
+            for y in (0, 1):
+                inside[:, y] += np.bincount(self.parent[at], weights=up[at, y], minlength=n)
+        full, pairs = inside.copy(), np.zeros((n, 2, 2))
+        for at in self.levels:
+            q = (full[self.parent[at]] - up[at])[:, :, None] + tree.edge[self.kind[at]] + inside[at, None, :]
+            each = np.logaddexp(q[:, 0], q[:, 1])
+            all_of = np.logaddexp(each[:, 0], each[:, 1])[:, None]
+            pairs[at], full[at] = np.exp(q - all_of[:, :, None]), each - all_of
+        return 1 / (1 + np.exp(full[:, 0] - full[:, 1])), pairs
+
+
 def _labels(page: Page, content: set[str]) -> list[int]:
     """Leaves by their text; an element is content if most of the characters below it are."""
     n = len(page.parent)
     good, every = [0] * n, [0] * n
     for i in range(n - 1, -1, -1):
-        if page.kind[i] == 0:
+        if page.text[i]:
             every[i] = len(page.text[i])
             good[i] = every[i] * (page.text[i] in content)
         if i:
@@ -247,25 +403,21 @@ def _labels(page: Page, content: set[str]) -> list[int]:
     return [int(2 * g > e) for g, e in zip(good, every)]
 
 
-def train(pages: list[tuple[str, set[str]]], rounds: int = 60, decay: float = 0.02) -> Tree:
+def train(pages: list[tuple[str, set[str]]], rounds: int = 100, decay: float = 0.03) -> Tree:
     """Gradient ascent (Adam) on the conditional log likelihood of the labels of all nodes."""
     tree = Tree(np.zeros(N_FEATURES), np.zeros((KINDS, 2, 2)))
-    data = [(p := parse(h), _labels(p, c)) for h, c in pages]
-    size = sum(len(y) for _, y in data)
-    m = [np.zeros_like(tree.node), np.zeros_like(tree.edge)]
-    v = [np.zeros_like(tree.node), np.zeros_like(tree.edge)]
+    parsed = [parse(h) for h, _ in pages]
+    forest, y = Forest(parsed), np.concatenate([_labels(p, c) for p, (_, c) in zip(parsed, pages)])
+    inner = np.flatnonzero(forest.parent != np.arange(len(y)))
+    seen = np.zeros((KINDS, 2, 2))
+    np.add.at(seen, (forest.kind[inner], y[forest.parent[inner]], y[inner]), 1)
+    m, v = [np.zeros_like(tree.node), np.zeros_like(tree.edge)], [np.zeros_like(tree.node), np.zeros_like(tree.edge)]
     for step in range(1, rounds + 1):
-        g = [-decay * tree.node, -decay * tree.edge]
-        for page, y in data:
-            one, pairs = tree.beliefs(page)
-            for i, f in enumerate(page.features):
-                g[0][f] += y[i] - one[i]
-                if i:
-                    k = page.kind[i]
-                    g[1][k] -= np.array(pairs[i]).reshape(2, 2)
-                    g[1][k, y[page.parent[i]], y[i]] += 1
+        one, pairs = forest.beliefs(tree)
+        expected = np.stack([pairs[inner][forest.kind[inner] == k].sum(axis=0) for k in range(KINDS)])
+        g = [np.bincount(forest.flat, weights=(y - one)[forest.of], minlength=N_FEATURES) - decay * tree.node, seen - expected - decay * tree.edge]
         for j, p in enumerate((tree.node, tree.edge)):
-            d = g[j] / size
+            d = g[j] / len(y)
             m[j] += 0.1 * (d - m[j])
             v[j] += 0.01 * (d * d - v[j])
             p += 0.15 * (m[j] / (1 - 0.9**step)) / (np.sqrt(v[j] / (1 - 0.99**step)) + 1e-8)
@@ -278,6 +430,8 @@ def labelled_pages(n: int, seed: int = 1) -> list[tuple[str, set[str]]]:
     pick, chance = rng.choice, lambda p: rng.random() < p
     word = lambda: "".join(pick(["an", "the", "on", "ing", "er", "ti", "ra", "os", "que", "ein", "ung", "le", "ment", "st"]) for _ in range(rng.randint(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    name = lambda: words(1, 2).title()
+    date = lambda: pick([f"{pick(['March', 'June', 'May'])} {rng.randint(1, 30)}, {rng.randint(1999, 2025)}", f"{rng.randint(1, 30)}.{rng.randint(1, 12)}.{rng.randint(1999, 2025)}", f"{rng.randint(2, 30)} {pick(['minutes', 'hours', 'days', 'weeks'])} ago", f"{rng.randint(2000, 2025)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)} {rng.randint(10, 23)}:{rng.randint(10, 59)}"])
 
     def prose(a: int = 1, b: int = 90) -> str:
         out, left = [], rng.randint(a, b)
@@ -289,6 +443,8 @@ def labelled_pages(n: int, seed: int = 1) -> list[tuple[str, set[str]]]:
             own = [word() for _ in range(k)]
             if k > 4 and chance(0.6):
                 own[k // 2] += ","
+            if chance(0.04):
+                own[0] = pick(["cookies", "comments", "newsletter", "2019", "consent", "reply", "share", "wrote"])
             out.append(" ".join(own).capitalize() + pick([".", ".", ".", "!", "?"]))
             left -= k
         if chance(0.06):
@@ -299,9 +455,12 @@ def labelled_pages(n: int, seed: int = 1) -> list[tuple[str, set[str]]]:
         inner = "".join(f'<{wrap}><a href="/{word()}">{words(1, 4).capitalize()}</a></{wrap}>' for _ in range(k))
         return f"<ul>{inner}</ul>" if wrap == "li" else inner
 
-    def box(names: list[str], inner: str, tags: tuple[str, ...] = ("div", "section", "aside")) -> str:
-        name = pick(names)
-        return f'<{(t := pick(tags))} {pick(["class", "id"])}="{name}">{inner}</{t}>'
+    def named(names: list[str], p: float = 0.85) -> str:
+        """An attribute with one of the names, or none that tells."""
+        return f' {pick(["class", "class", "id"])}="{pick(names)}"' if chance(p) else pick(["", f' class="{word()}-{rng.randint(1, 99)}"', ' class="col-3"', ' class="row"'])
+
+    def box(names: list[str], inner: str, tags: tuple[str, ...] = ("div", "section", "aside"), p: float = 0.85) -> str:
+        return f"<{(t := pick(tags))}{named(names, p)}>{inner}</{t}>"
 
     out = []
     for _ in range(n):
@@ -311,77 +470,153 @@ def labelled_pages(n: int, seed: int = 1) -> list[tuple[str, set[str]]]:
             content.append(" ".join(text.split()))
             return text
 
+        def ad() -> str:
+            inner = pick([prose(3, 40), f"<p>{prose(3, 40)}</p>", f'<a href="/x">{words(2, 6)}</a>'])
+            if chance(0.35):
+                return box(["ad", "ad-slot", "promo"], f"<{(t := pick(['span', 'p', 'div']))}>{pick(['Advertisement', 'Sponsored', 'Ad', 'Anzeige', 'Publicité', 'Publicidad'])}</{t}>{inner}", ("div", "aside"), 0.4)
+            return box(["ad", "ads", "advert", "sponsored", "banner", "promo-box", "adsbox", "ad-container"], inner, ("div", "aside", "section"), 1)
+
+        def form() -> str:
+            return f'<form action="/s">{pick(["", "<label>" + words(1, 3) + "</label>"])}<input type="text"><p>{prose(3, 15)}</p><button>{word()}</button></form>'
+
+        def letter() -> str:
+            return box(["newsletter", "subscribe", "signup-box", "newsletter-form"], f"<h{(h := rng.randint(2, 4))}>{pick(['Subscribe', 'Newsletter', 'Sign up for our newsletter', 'Stay in touch'])}</h{h}><p>{pick(['Get the best of ' + word() + ' in your inbox.', 'Sign up and never miss a story.', 'Enter your e-mail ' + words(2, 8) + '.'])}</p>" + pick(["", form()]), ("div", "section", "aside"))
+
+        def notice() -> str:
+            inner = pick([prose(6, 30), f"We use cookies {words(3, 14)}.", f"This site uses cookies. {prose(4, 12)}", f"{words(3, 8).capitalize()} consent {words(2, 5)}."])
+            return box(["cookie-notice", "consent-banner", "notice", "alert", "gdpr", "cc-window", "cookie-bar"], f"<p>{inner}</p>" + pick(["", "<button>OK</button>", '<a href="/p">' + word() + "</a>"]), ("div", "aside", "section"), 0.8 if "cookie" in inner else 1)
+
+        def comment(tag: str, p: float) -> str:
+            who = pick([f"<b>{name()}</b>", f'<a href="/u">{name()}</a> {pick(["says:", "wrote:", ""])}', f"<strong>{name()}</strong> <small>{date()}</small>", f"<cite>{name()}</cite><p>{date()}</p>", f"<h4>{name()}</h4>", f"<span>{name()}</span>, {date()}"])
+            text = "".join(f"<p>{prose(2, 60)}</p>" for _ in range(pick([1, 1, 1, 2, 3])))
+            return f"<{tag}{named(['comment', 'reply', 'comment-body', 'review', 'comment even depth-1'], p)}>{who if chance(0.75) else ''}{text if chance(0.8) else prose(2, 50)}{pick(['', '', '<a href=#>Reply</a>', '<div><a href=#>Reply</a></div>'])}</{tag}>"
+
+        def comments(many: int = 5) -> str:
+            k = rng.randint(1, many)
+            head = pick(["Comments", f"{k} Comments", f"Comments ({k})", f"{k} Responses", "Leave a reply", f"{k} thoughts on this", "Discussion", "Reader comments", "Kommentare", f"{k} Commentaires", "Comentarios", f"{k} comments"])
+            h = pick(["h2", "h3", "h3", "h4", "p", "div"])
+            head = f"<{h}>{head}</{h}>" if chance(0.7) else ""
+            plain = head and h[0] == "h" and chance(0.45)  # only the heading tells
+            wrap = pick([("ol", "li"), ("ul", "li"), ("div", "div"), ("div", "article"), ("section", "div"), ("div", "p")])
+            inner = f"<{wrap[0]}>" + "".join(comment(wrap[1], 0.0 if plain else 0.6) for _ in range(k)) + f"</{wrap[0]}>"
+            inner = head + inner + (form() if chance(0.2) else "")
+            return box(["x"], inner, ("div", "section"), 0) if plain else box(["comments", "comment-list", "discussion", "reader-comments", "responses reply", "comments-area", "disqus_thread"], inner, ("div", "section", "aside"), 1)
+
+        def side() -> str:
+            inner = pick([links(4), f"<p>{prose(5, 50)}</p>", links(3) + f"<p>{prose(3, 30)}</p>", "".join(f"<h4><a href=/y>{words(3, 9)}</a></h4><p>{prose(5, 30)}</p>" for _ in range(rng.randint(1, 4)))])
+            head = pick([words(1, 3), "Related", "Popular posts", "Recent comments", "About", "Most read", "Archives", "Tags"])
+            return f'<{(t := pick(["aside", "div", "div", "section"]))} {pick(["class", "id"])}="{pick(["sidebar", "side-rail", "widget-area", "related", "sidebar-right", "secondary sidebar", "rail", "trending"])}"><h3>{head}</h3>{inner}</{t}>'
+
+        def others() -> str:
+            head = pick(["Related articles", "Read more", "You may also like", "More from " + word(), "Related", "Recommended", "Ähnliche Artikel", "À lire aussi", "Most read", "Share this"])
+            inner = pick([links(3, pick(["li", "p"])), "".join(f"<div><a href=/z>{words(3, 9)}</a><p>{prose(4, 25)}</p></div>" for _ in range(3))])
+            return box(["related", "share", "more-stories", "recommended", "social"], f"<h3>{head}</h3>{inner}" if chance(0.8) else links(3, pick(["li", "p"])), ("div", "aside", "section"), 0.6)
+
         top, bottom = [], []
         if chance(0.8):
             top.append(f"<nav>{links(rng.randint(3, 9))}</nav>" if chance(0.7) else box(["main-nav", "menu", "navbar", "breadcrumbs"], links(rng.randint(3, 8), pick(["li", "span"])), ("div", "ul")))
         if chance(0.5):
-            top.insert(0, f'<header class="{pick(["site-header", "masthead", "top"])}"><div class="logo"><a href="/">{words(1, 2)}</a></div><p>{prose(2, 9)}</p></header>')
+            logo = f'<a href="/">{words(1, 2)}</a>'
+            top.insert(0, f'<{(t := pick(["header", "header", "div"]))} class="{pick(["site-header", "masthead", "top"])}">{pick(["<div class=logo>" + logo + "</div>", "<h1>" + logo + "</h1>", "<h1 class=site-title>" + words(1, 3).title() + "</h1>", "<p>" + logo + "</p>"])}<p>{prose(2, 9)}</p></{t}>')
+        if chance(0.15):
+            top.append(pick([f'<div{named(["breadcrumb", "crumbs"], 0.5)}><a href=/>Home</a> &gt; <a href=/a>{word()}</a> &gt; {words(1, 4)}</div>', f"<p><a href=/>Home</a> / <a href=/a>{word()}</a></p>"]))
         if chance(0.5):
-            top.append(box(["cookie-notice", "consent-banner", "notice", "alert", "gdpr"], f"<p>{prose(6, 30)}</p>" + pick(["", "<button>OK</button>", '<a href="/p">' + word() + "</a>"]), ("div", "aside")))
-        ad = lambda: box(["ad", "ads", "advert", "sponsored", "banner", "promo-box"], pick([prose(3, 40), f"<p>{prose(3, 40)}</p>"]), ("div", "aside", "section"))
+            (top if chance(0.7) else bottom).append(notice())
         if chance(0.6):
             top.append(ad())
-        form = lambda: f'<form action="/s">{pick(["", "<label>" + words(1, 3) + "</label>"])}<input type="text"><p>{prose(3, 15)}</p><button>{word()}</button></form>'
         if chance(0.3):
             top.append(form())
-        body = [f"<{(t := pick(['h1', 'h1', 'h1', 'h2']))}>{keep(words(3, 12).capitalize() + pick(['', '.', '. ' + word()]))}</{t}>"] if chance(0.9) else []
-        if chance(0.25):
-            body.append(f'<p class="{pick(["byline", "meta", "post-meta", "date"])}">{words(2, 5)}</p>')
-        for _ in range(rng.randint(1, 14)):
+        heading = keep(words(3, 12).capitalize() + pick(["", ".", ". " + word(), "?"]))
+        meta = f'<p{named(["byline", "meta", "post-meta", "date", "entry-meta"], 0.8)}>{pick([words(2, 5), f"By {name()}", f"By {name()} on {date()}", f"Posted by {name()}, {date()}", date()])}</p>'
+        h = pick(["h1", "h1", "h1", "h2"])
+        shown = f"<{h}{named(['entry-title', 'post-title', 'headline'], 0.3)}>{heading}</{h}>"
+        if chance(0.2):
+            shown = f'<header{named(["entry-header", "post-header", "article-header"], 0.7)}>{shown}{meta if chance(0.6) else ""}</header>'
+        elif chance(0.3):
+            shown += meta
+        body = [shown] if chance(0.85) else []
+        if not body:
+            content.pop()
+        short = chance(0.2)  # an article shorter than its comments, or than an advert
+        tiny = short and chance(0.3)
+        if chance(0.1):  # all in one block
+            parts = [prose(5, 60) for _ in range(rng.randint(1, 6))]
+            keep(" ".join(parts))
+            body.append("<br><br>".join(parts) + pick(["", "<hr>"]))
+            short = True
+        apart = chance(0.12)  # each part in a box of its own
+        for _ in range(rng.randint(1, 3 if short else 14)):
             kind = rng.random()
-            if kind < 0.75:
-                text = keep(prose(1, pick([4, 30, 90, 160])))
+            before = len(body)
+            if kind < 0.72:
+                text = keep(prose(1, 5 if tiny else pick([4, 30, 90, 160])))
                 if chance(0.2):
                     own = text.split(" ")
                     k = rng.randrange(len(own))
                     own[k] = pick([f'<a href="/x">{own[k]}</a>', f"<b>{own[k]}</b>", f"<em>{own[k]}</em>"])
                     text = " ".join(own)
                 body.append(f"<p>{text}{pick(['</p>', '</p>', '</p>', ''])}" if chance(0.85) else f"<div>{text}</div>" if chance(0.5) else f"<p><b>{text}<br>")
-            elif kind < 0.82:
-                body.append(f"<h2>{keep(words(1, 7).capitalize())}</h2>")
-            elif kind < 0.88:
-                body.append("<ul>" + "".join(f"<li>{keep(prose(1, 14))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
-            elif kind < 0.91:
-                body.append(f"<blockquote><p>{keep(prose(4, 40))}</p></blockquote>")
+            elif kind < 0.8:
+                t = pick(["h2", "h2", "h3"])
+                body.append(f"<{t}>{keep(words(1, 7).capitalize())}</{t}>")
+            elif kind < 0.86:
+                t = pick(["ul", "ul", "ol"])
+                body.append(f"<{t}>" + "".join(f"<li>{keep(prose(1, 14))}</li>" for _ in range(rng.randint(2, 5))) + f"</{t}>")
+            elif kind < 0.89:
+                body.append(f"<blockquote><p>{keep(prose(4, 40))}</p></blockquote>" if chance(0.7) else f"<pre>{keep(prose(3, 20))}</pre>")
+            elif kind < 0.92:
+                body.append(f"<table><tr><td>{keep(prose(1, 6))}</td><td>{keep(prose(1, 6))}</td></tr></table>" if chance(0.7) else f"<dl><dt>{keep(words(1, 3))}</dt><dd>{keep(prose(3, 20))}</dd></dl>")
             elif kind < 0.94:
-                body.append(f"<table><tr><td>{keep(prose(1, 6))}</td><td>{keep(prose(1, 6))}</td></tr></table>")
-            elif kind < 0.96:
                 body.append(f"<figure><img src='x'><figcaption>{keep(prose(3, 14))}</figcaption></figure>")
-            elif kind < 0.98:
+            elif kind < 0.96:
                 body.append(ad())
             else:
-                body.append(box(["related", "share", "newsletter", "social"], links(3, pick(["li", "p"])), ("div", "aside")))
+                body.append(pick([others, letter])())
+            if apart and kind < 0.94:
+                body[before] = f'<section class="{pick(["block", word(), "text-block", "slice"])}"><div class="{pick(["inner", "wrap", word()])}">{body[before]}</div></section>'
         if chance(0.15):
             body.append(f'<footer><p class="tags">{words(2, 5)}</p></footer>')
-        comments = box(["comments", "comment-list", "discussion", "reader-comments", "responses reply"], pick(["", "<h3>Comments</h3>"]) + "".join(f'<{pick(["div", "p", "li"] * 6 + ["article"])} class="{pick(["comment", "reply", "comment-body"])}">{prose(2, 60)}</{pick(["div", "p"])}>' if chance(0.6) else f"<div><b>{word()}</b><p>{prose(2, 60)}</p></div>" for _ in range(rng.randint(1, 5))), ("div", "section", "aside", "ol"))
-        side = pick(["aside", "div"])
-        side = f'<{side} class="{pick(["sidebar", "side-rail", "widget-area", "related"])}"><h3>{words(1, 3)}</h3>{pick([links(4), f"<p>{prose(5, 50)}</p>", links(3) + f"<p>{prose(3, 30)}</p>"])}</{side}>'
-        if chance(0.35) and chance(0.5):
-            body.append(comments)
-        elif chance(0.4):
-            bottom.append(comments)
+        if chance(0.12):
+            body.append(box(["author-bio", "author-box", "about-author"], f"<h4>{pick(['About the author', name()])}</h4><p>{prose(4, 30)}</p>", ("div", "aside"), 1))
+        if chance(0.1):
+            bottom.append(box(["pager", "pagination", "post-navigation"], f'<a href=/p>{pick(["Previous", "&laquo; " + words(2, 5)])}</a> <a href=/n>{pick(["Next", words(2, 5) + " &raquo;"])}</a>', ("div", "nav"), 0.6))
+        told = comments(12 if short else 5) if short or chance(0.5) else ""
+        if told and chance(0.35):
+            body.append(told)
+        elif told:
+            bottom.append(told)
         if chance(0.4):
-            (top if chance(0.4) else bottom).append(side)
+            (top if chance(0.4) else bottom).append(side())
+        if chance(0.2):
+            bottom.append(others())
         if chance(0.3):
-            bottom.append(form())
+            bottom.append(pick([form, letter])())
         if chance(0.3):
             bottom.append(ad())
         foot = pick([f"&copy; {words(1, 2)} &middot; {prose(2, 20)}", f"<p>{prose(3, 30)}</p>", links(4) + f"<p>Copyright {words(1, 2)}</p>"])
         if chance(0.9):
-            bottom.append(f"<footer>{foot}</footer>" if chance(0.75) else box(["footer", "site-footer", "copyright"], foot, ("div",)))
-        shell = pick(["article"] * 4 + ["main", "div", "div", "section", "bare"])
-        names = pick(["", "", ' class="post"', ' class="article-content"', ' id="content"', ' class="entry-content"', ' id="main"'])
+            bottom.append(f"<footer>{foot}</footer>" if chance(0.75) else box(["footer", "site-footer", "copyright", "colophon"], foot, ("div",), 1))
+        shell = pick(["article"] * 4 + ["main", "div", "div", "div", "section", "bare"])
+        topic = pick(["review", "category-privacy", "tag-advertising", "comment-free review", "post type-post tag-cookies", "hentry category-reviews author-site", "story popular", "popup-safe article"])
+        names = pick(["", "", ' class="post"', ' class="article-content"', ' id="content"', ' class="entry-content"', ' id="main"', f' class="{topic}"', f' class="{topic}"', f' class="{word()}"'])
         inner = "".join(body)
+        if chance(0.25):
+            inner = f'<{(t := pick(["div", "div", "section"]))} class="{pick(["post-content", "entry", "inner", "body-text", word(), "content", topic])}">{inner}</{t}>'
         middle = inner if shell == "bare" else f"<{shell}{names}>{inner}</{shell}>"
-        if chance(0.3):
-            middle = f"<main>{middle}</main>" if chance(0.6) else f'<div class="{pick(["wrapper", "container", "page", "layout", "row"])}">{middle}</div>'
-        page = f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{}}</style></head><body>{''.join(top)}{middle}{''.join(bottom)}" + pick(["</body></html>", ""])
+        layout = pick(["wrapper", "container", "page", "layout", "row", "main-wrapper sidebar-left", "with-sidebar", "layout-two-col sidebar-right", "page header-fixed footer-dark", "site has-ads", "content-area no-sidebar", "comments-open", "single author-admin", "grid widget-grid", "site-body nav-open", "page-form", word()])
+        whole = [*top, f"<main>{middle}</main>" if chance(0.2) else middle, *bottom]
+        if chance(0.5):
+            a, b = rng.randint(0, len(top)), rng.randint(len(top) + 1, len(whole))
+            whole[a:b] = [f'<div {pick(["class", "id"])}="{layout}">', *whole[a:b], "</div>"]
+        attributes = pick(["", "", "", f' class="{layout}"', f' class="single {pick(["comments-open", "has-sidebar", "no-header", "with-banner", "dialog-off", "logged-out search-off"])}"'])
+        head = pick(["", "", "<script>var a='<!--';</script>", "<script>if (a<b) {}</script>", "<!-- x -->"])
+        page = f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{}}</style>{head}</head><body{attributes}>{''.join(whole)}" + pick(["</body></html>", ""])
         out.append((page, {" ".join(unescape(c).split()) for c in content}))
     return out
 
 
 @lru_cache(1)
-def trained(pages: int = 300, seed: int = 1) -> Tree:
+def trained(pages: int = 400, seed: int = 1) -> Tree:
     return train(labelled_pages(pages, seed))
 
 
@@ -390,7 +625,7 @@ def main_text(html: str, tree: Tree) -> str:
     if len(page.parent) == 1:
         return ""
     content, _ = tree.beliefs(page)
-    return "\n".join(t for t, k, p in zip(page.text, page.kind, content) if k == 0 and p >= 0.5)
+    return "\n".join(t for t, p in zip(page.text, content) if t and p >= 0.5)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -1,0 +1,55 @@
+"""Hand-made pages in the manner of well-known publishing systems, with the runs of their article. None is used in training."""
+
+A = [
+    "The river has been rising since early spring, and nobody in the valley remembers a year like this one.",
+    "Farmers who used to plant in April now wait until the end of May, when the lower fields have dried.",
+    "“We have learned to be patient,” said one of them, leaning on the gate of his yard.",
+    "The council plans to raise the dam by two metres, but the money will not be there before next year.",
+    "Until then, sandbags are stacked along the road, and the school bus takes the longer way over the hill.",
+]
+D = ["Der Fluss steigt seit dem frühen Frühjahr, und niemand im Tal erinnert sich an ein solches Jahr.", "Die Bauern warten nun bis Ende Mai, wenn die unteren Felder getrocknet sind.", "Bis dahin liegen Sandsäcke an der Straße, und der Schulbus nimmt den längeren Weg."]
+R = ["La rivière monte depuis le début du printemps, et personne dans la vallée ne se souvient d’une telle année.", "Les paysans attendent maintenant la fin du mois de mai pour semer.", "Le car scolaire prend le chemin le plus long, par la colline."]
+T = "A valley waits for the water to fall"
+C = ["I grew up there and it was never this bad when I was a child.", "My uncle lost his whole barn, so please spare us the romance.", "Great reporting, thank you for going there yourself!"]
+
+
+def ps(xs):
+    return "".join(f"<p>{x}</p>" for x in xs)
+
+
+LAYOUTS = {
+    "blog theme": (f"""<body class="post-template-default single single-post logged-out has-sidebar comments-open"><div id="page" class="site"><header id="masthead" class="site-header"><p class="site-title"><a href="/">Valley Notes</a></p><p class="site-description">News from up the river</p>
+        <nav id="site-navigation" class="main-navigation"><div class="menu-main-container"><ul id="primary-menu" class="menu"><li class="menu-item"><a href="/">Home</a></li><li class="menu-item"><a href="/about">About</a></li></ul></div></nav></header>
+        <div id="content" class="site-content"><div id="primary" class="content-area"><main id="main" class="site-main"><article id="post-12" class="post-12 post type-post status-publish format-standard hentry category-review"><header class="entry-header"><h1 class="entry-title">{T}</h1><div class="entry-meta"><span class="posted-on">Posted on <a href="#">May 4, 2021</a></span> <span class="byline">by <a href="#">Ann Lee</a></span></div></header>
+        <div class="entry-content">{ps(A)}</div><footer class="entry-footer"><span class="cat-links">Posted in <a href="#">Floods</a></span></footer></article>
+        <div id="comments" class="comments-area"><h2 class="comments-title">3 thoughts on “{T}”</h2><ol class="comment-list">{"".join(f'<li class="comment"><article class="comment-body"><footer class="comment-meta"><b class="fn">Jo</b> <span class="says">says:</span></footer><div class="comment-content"><p>{c}</p></div></article></li>' for c in C)}</ol></div></main></div>
+        <aside id="secondary" class="widget-area"><section class="widget"><h2 class="widget-title">Recent Posts</h2><ul><li><a href="#">Ice on the lake</a></li><li><a href="#">The last ferry</a></li></ul></section></aside></div><footer id="colophon" class="site-footer"><div class="site-info">Proudly made in the valley.</div></footer></div></body>""", [T, *A]),
+    "wrapper with a side word": (f'<div class="main-wrapper sidebar-left"><div class="post-content"><h1>{T}</h1>{ps(A)}</div><div class="sidebar"><h3>Archive</h3><ul><li><a href=#>2019</a></li><li><a href=#>2020</a></li></ul></div></div><div class="footer">All rights reserved.</div>', [T, *A]),
+    "article about reviews": (f'<nav><a href=/>Home</a> <a href=/r>Reviews</a></nav><article class="comment-free review"><h1>{T}</h1>{ps(A)}</article><footer>© 2020 Reviews Weekly</footer>', [T, *A]),
+    "comments told by a heading": (f'<div id="a1"><h1>{T}</h1>{ps(A)}</div><div id="a2"><h3>2 Comments</h3><ol><li><p>{C[0]}</p></li><li><p>{C[1]}</p></li></ol></div>', [T, *A]),
+    "comments in the same box": (f'<body><div><h1>{T}</h1>{ps(A)}<h3>Comments (3)</h3><ul>{"".join(f"<li><strong>Jo</strong> {c}</li>" for c in C)}</ul></div></body>', [T, *A]),
+    "script with an open comment": (f'<html><head><title>x</title></head><body><ul class="nav"><li><a href=/>Home</a></li></ul><article><h1>{T}</h1>{ps(A[:2])}<script>var a="<!--";</script>{ps(A[2:])}</article></body></html>', [T, *A]),
+    "attribute with an open comment": (f'<body><article><h1>{T}</h1>{ps(A[:2])}<p><img src="m.png" alt="x <!-- y">{A[2]}</p>{ps(A[3:])}</article><footer><p>Contact us at the office.</p></footer></body>', [T, *A]),
+    "encyclopedia": (f"""<body class="mediawiki ltr sitedir-ltr ns-0 page-River skin-vector action-view"><div id="mw-page-base" class="noprint"></div><div id="content" class="mw-body" role="main"><h1 id="firstHeading" class="firstHeading">Valley River</h1><div id="bodyContent" class="mw-body-content"><div id="mw-content-text" class="mw-content-ltr"><div class="mw-parser-output">{ps(A[:2])}<h2><span class="mw-headline" id="Dam">Dam</span></h2>{ps(A[2:])}</div></div></div></div>
+        <div id="mw-navigation"><h2>Navigation menu</h2><div id="mw-panel"><nav class="portal"><ul><li><a href=#>Main page</a></li><li><a href=#>Random article</a></li></ul></nav></div></div><footer id="footer" class="mw-footer"><ul><li>This page was last edited on 3 May 2021.</li></ul></footer></body>""", ["Valley River", *A[:2], "Dam", *A[2:]]),
+    "hashed class names": (f'<div id="root"><div class="a b c"><div class="n p"><a href="/">Home</a><a href="/m">Membership</a></div></div><article><div class="l"><section class="fq fr"><div><h1 class="x1 y2">{T}</h1></div>{"".join(f"<p class={chr(34)}pw-post-body{chr(34)} id={chr(34)}k{i}{chr(34)}>{x}</p>" for i, x in enumerate(A))}</section></div></article><div class="bh"><h2>More from Ann Lee</h2><div><a href=#>The last ferry</a></div><div><a href=#>Ice on the lake</a></div></div></div>', [T, *A]),
+    "newspaper": (f"""<body><div class="consent-overlay" role="dialog"><p>We and our partners store cookies on your device.</p><button>Accept</button></div><header role="banner"><a class="logo" href="/">The Daily Valley</a><nav aria-label="Main"><ul><li><a href=#>World</a></li><li><a href=#>Sport</a></li></ul></nav></header>
+        <main><div class="story"><h1 class="headline">{T}</h1><p class="byline">By Ann Lee</p><div class="share-tools"><ul><li><a href=#>Facebook</a></li><li><a href=#>Twitter</a></li></ul></div><div class="story-body">{ps(A[:2])}<div class="ad-slot"><span>Advertisement</span></div>{ps(A[2:4])}<aside class="related-inline"><h4>Read more</h4><a href=#>The last ferry</a></aside>{ps(A[4:])}</div></div></main>
+        <section class="most-read"><h2>Most read</h2><ol><li><a href=#>Ice on the lake</a></li><li><a href=#>A ferry sinks</a></li></ol></section><footer role="contentinfo"><p>Copyright The Daily Valley. All rights reserved.</p></footer></body>""", [T, *A]),
+    "old tables": (f'<body bgcolor=white><table width=800><tr><td colspan=2><font size=5>Valley Home Page</font></td></tr><tr><td width=150 valign=top><a href=a.html>Home</a><br><a href=b.html>Links</a><br><a href=c.html>Guestbook</a></td><td><h1>{T}</h1><p>{A[0]}<p>{A[1]}<p>{A[2]}<p>{A[3]}<p>{A[4]}</td></tr></table></body>', [T, *A]),
+    "documentation": (f"""<body class="wy-body-for-nav"><div class="wy-grid-for-nav"><nav class="wy-nav-side"><ul><li class="toctree-l1"><a href=#>Install</a></li><li class="toctree-l1"><a href=#>Usage</a></li></ul></nav><section class="wy-nav-content-wrap"><div class="rst-content"><div role="navigation" aria-label="Page navigation"><ul class="wy-breadcrumbs"><li><a href=#>Docs</a></li><li>Usage</li></ul></div>
+        <div role="main" class="document"><section id="usage"><h1>Usage</h1><p>{A[0]}</p><section id="options"><h2>Options</h2><p>{A[3]}</p><ul class="simple"><li><p>{A[4]}</p></li><li><p>{A[1]}</p></li></ul></section></section></div><footer><p>© Copyright 2020, the authors.</p></footer></div></section></div></body>""", ["Usage", A[0], "Options", A[3], A[4], A[1]]),
+    "German": (f'<body><header><a href="/">Talblatt</a></header><nav><ul><li><a href=#>Politik</a></li><li><a href=#>Kultur</a></li></ul></nav><div id="cookie-hinweis" class="cookie-banner"><p>Wir verwenden Cookies, um die Seite zu verbessern.</p></div><main><article><h1>Ein Tal wartet</h1>{ps(D)}</article><section class="kommentare"><h3>2 Kommentare</h3><div><p>Bei uns war es noch nie so schlimm.</p></div><div><p>Danke für den Bericht, sehr gut.</p></div></section></main><footer><a href=#>Impressum</a> <a href=#>Datenschutz</a></footer></body>', ["Ein Tal wartet", *D]),
+    "French": (f'<body><div class="menu-haut"><ul><li><a href=#>Accueil</a></li><li><a href=#>Sport</a></li></ul></div><div class="contenu"><div class="article"><h1>Une vallée attend</h1>{ps(R)}</div><div class="bloc"><h3>Commentaires</h3><ul><li>Merci pour ce bel article, très juste.</li><li>Chez nous, ce fut bien pire encore.</li></ul></div></div><div class="pied footer">Tous droits réservés.</div></body>', ["Une vallée attend", *R]),
+    "only paragraphs": (f"<h1>{T}</h1>{ps(A)}", [T, *A]),
+    "no heading": (f'<body><div class="topbar"><a href=/>Home</a><a href=/x>Contact</a></div><div class="text">{ps(A)}</div><div class="bottom"><p>Valley Press, Hill Road 3.</p></div></body>', A),
+    "breaks in one block": (f'<div class="post-body entry-content">{A[0]}<br><br>{A[1]}<br><br>{A[2]}</div><div class="post-footer"><span class="post-author">Posted by Ann Lee</span> at <a href=#>10:15</a></div><div id="sidebar-right-1" class="sidebar section"><div class="widget"><h2>Followers</h2></div></div>', [" ".join(A[:3])]),
+    "question and lists": (f'<main class="page-content"><h1>How to stack sandbags</h1><p>{A[4]}</p><ol><li>Fill the bags only half, so that they lie flat.</li><li>Fold the open end under the bag.</li><li>Stack them like bricks, and tread on each row.</li></ol><h2>Tools</h2><ul><li>A shovel</li><li>Gloves</li></ul><p>{A[3]}</p></main><div class="newsletter-signup"><h3>Newsletter</h3><p>Get our stories in your inbox every Friday.</p><form><input type=email><button>Sign up</button></form></div>', ["How to stack sandbags", A[4], "Fill the bags only half, so that they lie flat.", "Fold the open end under the bag.", "Stack them like bricks, and tread on each row.", "Tools", "A shovel", "Gloves", A[3]]),
+    "short article, many comments": (f'<body class="comments-open"><article class="entry"><h1>{T}</h1><p>{A[0]}</p></article><section id="comments"><h2>6 responses</h2><ol>{"".join(f"<li class=comment><p>{c} {A[3]}</p></li>" for c in C * 2)}</ol></section><footer>Made by hand.</footer></body>', [T, A[0]]),
+    "quotes, figures and a table": (f'<div class="container"><div class="row"><div class="col-md-8"><article class="blog-post"><h1>{T}</h1>{ps(A[:1])}<blockquote><p>{A[2]}</p></blockquote><figure><img src=a.jpg><figcaption>The dam in spring.</figcaption></figure><table><tr><th>Year</th><th>Level</th></tr><tr><td>2019</td><td>3.1 m</td></tr></table>{ps(A[3:])}</article></div><div class="col-md-4"><div class="card"><h5>Categories</h5><ul><li><a href=#>Floods</a></li><li><a href=#>Schools</a></li></ul></div></div></div></div><footer class="bg-dark"><p>Valley Press 2021</p></footer>', [T, A[0], A[2], "The dam in spring.", "Year", "Level", "2019", "3.1 m", *A[3:]]),
+    "about cookies and adverts": (f'<nav><ul><li><a href=#>Home</a></li></ul></nav><article class="post tag-cookies tag-advertising"><h1>What cookies do</h1><p>Cookies are small files that a site leaves with you, and advertisers read them later.</p>{ps(A[3:])}<p>If you do not want to be followed, block the cookies of other sites and read your newsletter elsewhere.</p></article><div class="cookie-banner">This site uses cookies.<button>OK</button></div>', ["What cookies do", "Cookies are small files that a site leaves with you, and advertisers read them later.", *A[3:], "If you do not want to be followed, block the cookies of other sites and read your newsletter elsewhere."]),
+    "title in a header of the article": (f'<body><header class="top"><h1><a href="/">Valley Notes</a></h1></header><article><header><h2>{T}</h2><time>4 May 2021</time></header>{ps(A)}<footer><p>Filed under <a href=#>Floods</a></p></footer></article><nav class="post-nav"><a href=#>Previous</a><a href=#>Next</a></nav></body>', [T, *A]),
+    "broken markup": (f'<body><div class=nav><ul><li><a href=/>Home<li><a href=/b>Blog</ul></div><div id=content><h1>{T}</h2><p>{A[0]}<p>{A[1]}</div></div></p><p>{A[2]}<div><b>{A[3]}</div><p>{A[4]}</body><div class=footer>Write to the editor.', [T, *A]),
+    "amp page": (f'<body><amp-sidebar id="sidebar1" layout="nodisplay"><ul><li><a href=#>Home</a></li><li><a href=#>News</a></li></ul></amp-sidebar><main role="main"><article class="amp-wp-article"><header class="amp-wp-article-header"><h1 class="amp-wp-title">{T}</h1></header><div class="amp-wp-article-content">{ps(A)}</div></article></main><amp-ad><div>Sponsored</div></amp-ad><footer class="amp-wp-footer"><p>Powered by the valley</p></footer></body>', [T, *A]),
+    "many small sections": (f'<main id="skip-target"><section class="hero"><h1>{T}</h1></section>{"".join(f"<section class=block><div class=inner><p>{x}</p></div></section>" for x in A)}<section class="promo"><div class=inner><h2>You may also like</h2><a href=#>The last ferry</a></div></section></main>', [T, *A]),
+}
