@@ -1,66 +1,19 @@
-"""Shared folder, written tables, distributed prefix sums and other pieces that several operators use."""
+"""Tables, distributed prefix sums and other pieces that several operators use."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROOT = Path(__file__).resolve().parents[2]
-SPACE = b" \t\n\r\x0b\x0c"
-
+from quillon.shared import fresh, ship, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not at:
-        at = sc.getCheckpointDir()
-        if not at:
-            at = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
-            sc.setCheckpointDir(at)
-        return at
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, which cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    at = scratch(spark, name)
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(*by) if by else out).parquet(at)
-    return spark.read.schema(df.schema).parquet(at) if not by else spark.read.parquet(at)
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package: on a cluster always, in local mode where it isn't on their path."""
-    known = [os.path.realpath(p or ".") for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]]
-    sc = spark.sparkContext
-    if (str(ROOT) not in known or not sc.master.startswith("local[")) and getattr(sc, "_quillon_shipped", None) is None:
-        at = os.path.join(tempfile.mkdtemp(prefix="quillon-src-"), "quillon_src.zip")
-        with zipfile.ZipFile(at, "w") as z:
-            for p in sorted((ROOT / "quillon").rglob("*.py")):
-                z.write(p, p.relative_to(ROOT))
-        sc.addPyFile(at)
-        sc._quillon_shipped = at
-    return spark
+SPACE = b" \t\n\r\x0b\x0c"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,37 +36,38 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, group: str | None =
 
     Rows are range-sorted by (group, order), each partition sums its own run, and the totals of the partitions (one row for
     each partition and group in it) are scanned apart; no group has to fit one task. Written to the shared folder."""
-    spark = df.sparkSession
     keys = ([group] if group else []) + order
     runs = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_local", T.LongType())])
     columns = df.columns
+    at, run, own, of, total, base = fresh(columns, "_pid", "_run", "_local", "_of", "_sum", "_base")
+    schema = T.StructType([*df.schema.fields, T.StructField(at, T.IntegerType()), T.StructField(own, T.LongType())])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, at, last = TaskContext.get().partitionId(), 0, object()
+        pid, so_far, last = TaskContext.get().partitionId(), 0, object()
         for b in batches:
             v = np.asarray(b.column(columns.index(value)).fill_null(0), dtype=np.int64)
-            total = np.cumsum(v)
-            start = np.full(len(v), at, dtype=np.int64)
+            sums = np.cumsum(v)
+            start = np.full(len(v), so_far, dtype=np.int64)
             if group and len(v):
                 g = b.column(columns.index(group)).to_pylist()
                 new = np.fromiter((x != y for x, y in zip(g, [last, *g[:-1]])), bool, len(g))
-                for i in np.flatnonzero(new):
-                    start[i:] = -(total[i - 1] if i else 0)
+                first = np.flatnonzero(new)
+                if len(first):
+                    start[first[0] :] = np.repeat(-(sums[first] - v[first]), np.diff(np.r_[first, len(v)]))
                 last = g[-1]
-            out = start + total - v
-            at = int(start[-1] + total[-1]) if len(v) else at
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(v), pid, np.int32)), pa.array(out)], [*columns, "_pid", "_local"])
+            out = start + sums - v
+            so_far = int(start[-1] + sums[-1]) if len(v) else so_far
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(v), pid, np.int32)), pa.array(out)], [*columns, at, own])
 
     kept = written(runs.mapInArrow(local, schema), name)
-    named = [F.col(group).alias("_of")] if group else []
-    totals = kept.groupBy(F.col("_pid").alias("_run"), *named).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_sum"))
-    part = "PARTITION BY _of" if group else ""
-    totals = totals.withColumn("_base", F.coalesce(F.expr(f"sum(_sum) OVER ({part} ORDER BY _run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0)))
-    on = F.col("_pid") == F.col("_run")
+    named = [F.col(group).alias(of)] if group else []
+    totals = kept.groupBy(F.col(at).alias(run), *named).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias(total))
+    part = f"PARTITION BY {of}" if group else ""
+    totals = totals.withColumn(base, F.coalesce(F.expr(f"sum({total}) OVER ({part} ORDER BY {run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0)))
+    on = F.col(at) == F.col(run)
     if group:
-        on &= F.col(group).eqNullSafe(F.col("_of"))
-    return kept.join(totals.drop("_sum"), on, "left").select(*columns, (F.col("_base") + F.col("_local")).alias("before"))
+        on &= F.col(group).eqNullSafe(F.col(of))
+    return kept.join(totals.drop(total), on, "left").select(*columns, (F.col(base) + F.col(own)).alias("before"))
 
 
 def cut_points(df: DataFrame, column: str, ranges: int) -> list[int]:
@@ -121,3 +75,13 @@ def cut_points(df: DataFrame, column: str, ranges: int) -> list[int]:
     shares = [(i + 1) / ranges for i in range(ranges - 1)]
     found = df.agg(F.percentile_approx(F.col(column).cast("long"), shares, max(1000, 10 * ranges)).alias("at")).first()["at"] if shares else None
     return sorted(set(found or []))
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, whatever signs are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def text_hash(docs: DataFrame) -> Column:
+    """With doc_id, the address of a row: doc_ids may be null or repeat, but rows that share both are the same document."""
+    return F.xxhash64(docs["text"].cast("string"))

@@ -7,7 +7,8 @@ separator before it, so a document that spans blocks (or fills many) is counted
 out; ids after a file's last separator are no document. Files are written under a new name by each attempt, and only those
 that the written list names are read, so lost executors leave at most files without use.
 
-Null and empty texts have count 0. Repeated rows and doc_ids, and null doc_ids, are counted row by row. An empty table gives no row.
+Null and empty texts have count 0; very long texts span blocks. Repeated rows and doc_ids, and null doc_ids, are counted row by row;
+rows have no order to tie in, as each has its place in its file. Further columns may have any name; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import scratch, texts, written
+from quillon.llm.common import texts
 from quillon.llm.tokens import WORD_BPE, word_bpe
+from quillon.shared import scratch, written
 
 SEPARATOR, BLOCK_TOKENS = 49407, 1 << 20
 LISTED = "file string, ordinal long, doc_id long, bytes long"

@@ -6,7 +6,9 @@ that these joins move and sort no run. When `fanout` runs have gathered on a lev
 At the end the runs hold each key once, with its owner, and a line goes if another document owns its key.
 
 Null and empty texts are one empty line. Rows that repeat a doc_id are one document in several rows; rows without doc_id are
-together one last document. An empty table gives no row.
+together one last document. What a row loses is addressed by doc_id and text hash, so neither a doc_id that repeats often nor many
+rows without one gather in a task. Very long texts are split whole. Among documents that tie for a key the smallest doc_id keeps it.
+Further columns may have any name; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from quillon.llm.common import SPACE, cut_points, octets, scratch
+from quillon.llm.common import SPACE, cut_points, named, octets, text_hash
+from quillon.shared import fresh, remove, scratch
 
 LAST = (1 << 63) - 1
-PAIRS = "h1 long, h2 long, doc long"
+PAIRS = "h1 long, h2 long, doc long, at long"
 ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
@@ -38,12 +41,12 @@ def long_enough(key: bytes, least: int) -> bool:
 
 
 def pairs(docs: DataFrame, least: int, edges: list[int]) -> DataFrame:
-    """(h1, h2, doc, batch): each row's distinct keys of at least `least` code points."""
+    """(h1, h2, doc, at, batch): each row's distinct keys of at least `least` code points, with the hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
+            for first in range(0, whole.num_rows, 2048):
+                b = whole.slice(first, 2048)
                 ids = np.asarray(b.column(0).fill_null(LAST), np.int64)
                 keys, counts = [], []
                 for t in octets(b.column(1)):
@@ -51,10 +54,10 @@ def pairs(docs: DataFrame, least: int, edges: list[int]) -> DataFrame:
                     keys.append(b"".join(map(xxh3_128_digest, own)))
                     counts.append(len(own))
                 h = np.frombuffer(b"".join(keys), ">i8").reshape(-1, 2).astype(np.int64)
-                doc = np.repeat(ids, counts)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(doc), pa.array(np.searchsorted(edges, doc).astype(np.int32))], ["h1", "h2", "doc", "batch"])
+                doc, at = np.repeat(ids, counts), np.repeat(np.asarray(b.column(2)), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(doc), pa.array(at), pa.array(np.searchsorted(edges, doc).astype(np.int32))], ["h1", "h2", "doc", "at", "batch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PAIRS + ", batch int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash(docs).alias("at")).mapInArrow(run, PAIRS + ", batch int")
 
 
 class SortedRuns:
@@ -73,8 +76,7 @@ class SortedRuns:
 
     def _drop(self, name: str, at: str) -> None:
         self.spark.sql(f"DROP TABLE {name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        remove(self.spark, at)
 
     def add(self, firsts: DataFrame) -> None:
         """Takes a batch's (h1, h2, owner), one row a key, with owners above those of all earlier batches."""
@@ -106,7 +108,7 @@ class SortedRuns:
 
 
 def drops(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """(doc, gone): the key hashes that each document loses."""
+    """(doc, at, gone): the key hashes that the rows of a doc_id and text hash lose."""
     spark = docs.sparkSession
     edges = cut_points(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", batches)
     at = scratch(spark, "line-pairs")
@@ -117,43 +119,45 @@ def drops(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 3) -
         runs.add(arrived.filter(F.col("batch") == batch).groupBy("h1", "h2").agg(F.min("doc").alias("owner")))
     runs.close()
     lost = arrived.drop("batch").join(runs.owners(), ["h1", "h2"]).filter("doc > owner")
-    return lost.groupBy("doc").agg(F.collect_list("h1").alias("gone"))
+    return lost.groupBy("doc", "at").agg(F.collect_set("h1").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """docs with `text` reduced to the lines that stay, and _n_lines and _n_dropped; a row's other columns stay as they are.
-    Texts are moved once, compressed, to meet what their document loses."""
-    gone = drops(docs, least, batches, fanout).withColumnRenamed("doc", "_doc").withColumnRenamed("gone", "_gone")
+def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 3, counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with `text` reduced to the lines that stay, and with two more columns of those names (lengthened where docs has
+    them; none without `counts`): lines before, and lines that went. All other columns stay as they are. Texts are moved once,
+    compressed, to meet what they lose."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
     columns, at = docs.columns, docs.columns.index("text")
-    squeezed = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in docs.schema])
+    doc, address, gone, hashed, *more = fresh(columns, "_doc", "_at", "_gone", "_hash", *(counts or ()))
+    lost = drops(docs, least, batches, fanout).select(F.col("doc").alias(doc), F.col("at").alias(address), F.col("gone").alias(gone))
+    squeezed = T.StructType([*(T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in docs.schema), T.StructField(hashed, T.LongType())])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(3)
         for b in batches:
             yield b.set_column(at, "text", pa.array([z.compress(t) for t in octets(b.column(at))], pa.binary()))
 
-    out = T.StructType([*docs.schema, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
+    out = T.StructType([*docs.schema, *(T.StructField(c, T.LongType()) for c in more)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for whole in batches:
             for first in range(0, whole.num_rows, 1024):
                 b = whole.slice(first, 1024)
-                kept, lines, lost = [], [], []
-                for raw, gone in zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist()):
+                kept, lines, dropped = [], [], []
+                for raw, out_of in zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist()):
                     own = z.decompress(raw).split(b"\n")
                     stay = own
-                    if gone:
-                        bad = {x.to_bytes(8, "big", signed=True) for x in gone}
+                    if out_of:
+                        bad = {x.to_bytes(8, "big", signed=True) for x in out_of}
                         stay = [x for x in own if not (long_enough(k := key_of(x), least) and xxh3_128_digest(k)[:8] in bad)]
                     kept.append(b"\n".join(stay))
                     lines.append(len(own))
-                    lost.append(len(own) - len(stay))
-                arrays = [*b.columns[: len(columns)], pa.array(lines, pa.int64()), pa.array(lost, pa.int64())]
+                    dropped.append(len(own) - len(stay))
+                arrays = [*b.columns[: len(columns)], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())][: len(columns) + len(more)]
                 arrays[at] = pa.array(kept, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(arrays, [*columns, "_n_lines", "_n_dropped"])
+                yield pa.RecordBatch.from_arrays(arrays, [*columns, *more])
 
-    moved = docs.mapInArrow(squeeze, squeezed)
-    met = moved.join(gone.hint("shuffle_hash"), F.coalesce(moved["doc_id"].cast("long"), F.lit(LAST)) == gone["_doc"], "left").select(*[moved[c] for c in columns], "_gone")
-    return met.mapInArrow(apply, out)
+    moved = docs.withColumn(hashed, text_hash(docs)).mapInArrow(squeeze, squeezed)
+    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col(doc)) & (F.col(hashed) == F.col(address))
+    return moved.join(lost.hint("shuffle_hash"), on, "left").select(*map(named, columns), gone).mapInArrow(apply, out)

@@ -10,7 +10,9 @@ period, at least one each.
 
 The blocks come from a distributed prefix sum, so that no source has to fit one task; one task schedules, a step a block.
 Null sources are one more source, null texts count no code points, null doc_ids come first; rows that repeat a doc_id each keep
-their place. An empty table gives no row.
+their place, by text hash. A source that given weights don't name has weight zero. Ties of deadlines go to the source of lesser
+name. Very long texts count whole; one of many blocks' length leaves the blocks it covers empty. Further columns may have any name;
+an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import prefix_sums, written
+from quillon.llm.common import named, prefix_sums, text_hash
+from quillon.shared import fresh, written
 
 BLOCK_CHARS, PERIOD, POWER = 65_536, 1000, 0.5
 LAST = (1 << 63) - 1  # numbers of slots beyond are written as this one
@@ -112,26 +115,34 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
 
     Without weights, a source's weight is its code points (one more a document) to a power below one, which lifts small sources;
     there may be any number of sources. Only given weights can be rounded to a period."""
+    return _placed(docs, weights, block_chars, period).drop("tie")
+
+
+def _placed(docs: DataFrame, weights: dict[str | None, float] | None, block_chars: int, period: int | None) -> DataFrame:
+    """The same, with the hash of each row's text as `tie`."""
     spark = docs.sparkSession
     if weights and (min(weights.values()) < 0 or sum(weights.values()) <= 0):
         raise ValueError("weights are at least zero, and one is above")
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), F.xxhash64("text").alias("tie")]
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), text_hash(docs).alias("tie")]
     begun = prefix_sums(docs.select(*columns), ["doc_id", "tie"], "n", "source", "mixing-blocks")
     blocks = begun.withColumn("block", F.floor(F.col("before") / F.lit(block_chars)).cast("long"))
     sources = blocks.groupBy("source").agg(F.pow(F.sum(F.col("n") + 1), F.lit(POWER)).alias("weight"), (F.max("block") + 1).alias("blocks"))
     if weights is not None:
         shares = slots_of(weights, period) if period else weights
         given = spark.createDataFrame([(s, float(w)) for s, w in shares.items()], "_of string, _weight double")
-        sources = sources.join(given, sources["source"].eqNullSafe(given["_of"])).select("source", F.col("_weight").alias("weight"), "blocks")
+        sources = sources.join(given, sources["source"].eqNullSafe(given["_of"]), "left").select("source", F.coalesce("_weight", F.lit(0.0)).alias("weight"), "blocks")
     times = plan(sources)
     met = blocks.join(times, blocks["source"].eqNullSafe(times["_source"]) & (blocks["block"] == times["_block"]))
     timed = met.select("_slot", F.col("before").alias("at"), "doc_id", "tie", "source", "block", "_release", "_deadline", F.lit(1).cast("long").alias("one"))
     placed = prefix_sums(timed, ["_slot", "at", "doc_id", "tie"], "one", name="mixing-order")
-    return placed.select("doc_id", "source", "block", F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"), F.col("before").alias("position"))
+    return placed.select("doc_id", "tie", "source", "block", F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"), F.col("before").alias("position"))
 
 
-def in_order(docs: DataFrame, **params: object) -> DataFrame:
-    """docs, each row once, range-sorted by the schedule; a source without documents left gives its slots to none."""
-    order = mixed(docs, **params).groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_position"))
-    met = docs.join(order.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(order["_id"]), "left")
-    return met.repartitionByRange("_position").sortWithinPartitions("_position").drop("_id", "_position")
+def in_order(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, period: int | None = None) -> DataFrame:
+    """docs, each row once, range-sorted by the schedule; a source without documents left gives its slots to none. Rows meet
+    their place by doc_id and text hash, and rows that share both stand together."""
+    doc, tie, position, at = fresh(docs.columns, "_doc", "_tie", "_position", "_at")
+    order = _placed(docs, weights, block_chars, period).groupBy(F.col("doc_id").alias(doc), F.col("tie").alias(tie)).agg(F.min("position").alias(position))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & F.col(at).eqNullSafe(F.col(tie))
+    met = docs.withColumn(at, text_hash(docs)).join(order.hint("shuffle_hash"), on, "left")
+    return met.repartitionByRange(position).sortWithinPartitions(position).select(*map(named, docs.columns))

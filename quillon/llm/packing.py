@@ -5,8 +5,9 @@ puts similar documents near each other. The keys (not the texts) are range-sorte
 document its place in one long row of tokens, and every 4096 tokens of that row are a sequence. Only the last sequence can need
 padding. The ids are written once, and join their document's place by row number.
 
-Null texts count as empty and are one end-of-document id. Repeated rows and doc_ids are packed each for itself; null doc_ids
-too. An empty table gives no piece.
+Null texts count as empty and are one end-of-document id; very long texts fill as many sequences as they need. Repeated rows and
+doc_ids are packed each for itself; null doc_ids too. Equal keys are ordered by doc_id, then by row. Further columns may have any name;
+an empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import prefix_sums, texts, written
+from quillon.llm.common import prefix_sums, texts
 from quillon.llm.tokens import WORD_BPE, word_bpe
+from quillon.shared import written
 
 LENGTH, END_ID, DIMS, BITS = 4096, 2, 4, 15
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"

@@ -9,8 +9,8 @@ ordinary prose stays and symbol noise, shouting, tables and repetition go. Every
 however few; as few say little about the spread, a band of n documents is 1 + least_docs / n times as wide, which has no step at
 any size. A language of one or two documents is thus hardly judged beyond the base rules.
 
-Words over 512 characters are measured in segments of 512. Null texts have no word; repeated rows and doc_ids are judged row by
-row. An empty table gives no row.
+Texts and words are measured whole, however long. A value that ties with the edge of its band is inside. Null texts have no word;
+repeated rows and doc_ids are judged row by row. Further columns may have any name; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import octets, written
+from quillon.llm.common import octets, text_hash
 from quillon.llm.tokens import fertility
+from quillon.shared import written
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 SYMBOLS = b"#*$%&|<>"
@@ -123,7 +124,7 @@ def measured(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> DataF
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(bands, pa.string()), *arrays], SCHEMA.names)
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"), text_hash(docs).alias("text_hash")).mapInArrow(run, SCHEMA)
 
 
 def bands(rows: DataFrame, accuracy: int = 10_000) -> DataFrame:
@@ -154,5 +155,4 @@ def judged(docs: DataFrame, least_docs: int = 10, limits: dict = BANDS) -> DataF
 def keep(docs: DataFrame, **params: object) -> DataFrame:
     """docs without the rows that are rejected; what goes is known by doc_id and text hash."""
     gone = judged(docs, **params).filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    hashed = F.xxhash64(docs["text"].cast("string"))
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & hashed.eqNullSafe(gone["_gone_hash"]), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & text_hash(docs).eqNullSafe(gone["_gone_hash"]), "left_anti")

@@ -5,8 +5,9 @@ t = floor(ln w / r + b) and the value ln c - r (t + 1 - b), with r, c ~ Gamma(2,
 the sample; the least value is the sample. Two documents have the same least value with a probability equal to the generalised
 Jaccard similarity of their weights, sum of minima over sum of maxima. A fingerprint is 16 bits of each least value, in hex.
 
-Null texts count as empty; documents without a word share one fingerprint. An empty table gives no row. In the order of
-with_next, rows that repeat a doc_id follow each other by text hash, and rows without doc_id come last.
+Null texts count as empty; documents without a word share one fingerprint; very long texts are sampled whole, in chunks of words. In
+the order of with_next, rows that repeat a doc_id follow each other by text hash (rows that share both are alike, so their order
+doesn't matter), and rows without doc_id come last, by text hash. Further columns may have any name; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from xxhash import xxh64_intdigest
 from quillon.llm.common import cut_points, octets
 
 SAMPLES, CHUNK, BATCH_DOCS, BATCH_BYTES = 128, 8192, 512, 2_000_000
+#: Where rows without doc_id come, and the most ranges that the driver keeps the ends of.
+NO_ID, MOST_RANGES = (1 << 63) - 1, 20_000
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
 
@@ -133,19 +136,25 @@ WITH_NEXT = "doc_id long, n_chars long, edited string, fingerprint string, edite
 def with_next(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of each row, of its edited text and of the next row by descending doc_id (after the last: the first).
 
-    Rows are cut into ranges of doc_id; compressed texts move once, each range's first row also to the range before it, and
-    neighbours meet in the sorted ranges. The driver holds one (doc_id, hash) a range."""
+    Rows are cut into ranges of doc_id, those without one into ranges of text hash; compressed texts move once, each range's first
+    row also to the range before it, and neighbours meet in the sorted ranges. The driver holds one (doc_id, hash) a range."""
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    place = F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1))
-    cuts = cut_points(docs.select(place.alias("p")), "p", ranges)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, docs.rdd.getNumPartitions()))
+    place = F.coalesce(F.bitwise_not("doc_id"), F.lit(NO_ID))
+    cuts = cut_points(docs.select(F.bitwise_not("doc_id").alias("p")), "p", ranges)
+    counts = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    without = 1 + ranges * (counts["n"] - counts["known"]) // max(1, counts["n"])  # ranges for rows without doc_id
+    hash_cuts = [int(-(1 << 63) + (i + 1) * ((1 << 64) // without)) for i in range(without - 1)]
     placed = docs.select(place.alias("_p"), F.xxhash64("text").alias("_h"))
 
+    def range_of(p: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(cuts, p)
+        return np.where(p == NO_ID, len(cuts) + np.searchsorted(np.array(hash_cuts, np.int64), h, side="right"), at).astype(np.int32)
+
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = np.asarray(b.column(0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, p).astype(np.int32)), *b.columns], ["range", "p", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(range_of(np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64))), *b.columns], ["range", "p", "h"])
 
     numbered = placed.mapInArrow(ranged, "range int, p long, h long")
     heads = sorted((r["range"], r["head"]["p"], r["head"]["h"]) for r in numbered.groupBy("range").agg(F.min(F.struct("p", "h")).alias("head")).collect())
@@ -155,7 +164,7 @@ def with_next(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         z = zstandard.ZstdCompressor(3)
         for b in batches:
             ids, p, h = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            part = np.searchsorted(cuts, np.asarray(b.column(1), np.int64)).tolist()
+            part = range_of(np.asarray(b.column(1), np.int64), np.asarray(b.column(2), np.int64)).tolist()
             packed = [z.compress(t) for t in octets(b.column(3))]
             also = [i for i in range(len(ids)) if (p[i], h[i]) in to]
             every = [*range(len(ids)), *also]
@@ -191,4 +200,4 @@ def with_next(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                     carry = rows[-1] if rows else carry
 
     moved = docs.select("doc_id", place.alias("p"), F.xxhash64("text").alias("h"), "text").mapInArrow(move, "range int, tail boolean, p long, h long, doc_id long, z binary")
-    return moved.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("range", "tail", "p", "h").mapInArrow(meet, WITH_NEXT)
+    return moved.repartitionById(len(cuts) + without, F.col("range")).sortWithinPartitions("range", "tail", "p", "h").mapInArrow(meet, WITH_NEXT)

@@ -7,8 +7,9 @@ than `cell_limit` different fingerprints is not compared pair by pair: its finge
 neighbours instead (once each, however many such cells hold them), where two meet exactly when they differ in at most 2 bits,
 and a star per neighbour joins them. Nothing is dropped and work grows with the rows, also where all cells are over the limit. Equal fingerprints are one node.
 
-Null texts count as empty; an empty text has fingerprint zero. Repeated rows and doc_ids keep one result row each. A null
-doc_id takes part in linking but never names a component; a component of null ids only has component_id null.
+Null texts count as empty; an empty text has fingerprint zero; very long texts are hashed whole, in portions. Bits that tie at half
+the shingles are 0. Repeated rows and doc_ids keep one result row each. A null doc_id takes part in linking but never names a
+component; a component of null ids only has component_id null. Further columns may have any name; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quillon.llm.common import octets, written
+from quillon.llm.common import named, octets, text_hash
 from quillon.llm.graph import components
+from quillon.shared import fresh, written
 
 SEED, LONG = 42, 1 << 16
 
@@ -46,14 +48,14 @@ def fingerprint(text: bytes, words_each: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit form of each row's fingerprint."""
+    """(doc_id, at, fp): hash of each row's text, and the signed 64-bit form of its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t, words_each) for t in octets(b.column(1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], ["doc_id", "at", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash(docs).alias("at")).mapInArrow(run, "doc_id long, at long, fp long")
 
 
 def nibble_counts(fp: np.ndarray) -> np.ndarray:
@@ -144,21 +146,29 @@ def links(fps: DataFrame, bits: int = 2, cell_limit: int = 64) -> DataFrame:
     return met.filter("not crowded").select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(star).filter("src <> dst").distinct()
 
 
-def simhash_groups(docs: DataFrame, words_each: int = 3, bits: int = 2, cell_limit: int = 64) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text)."""
+def _grouped(docs: DataFrame, words_each: int, bits: int, cell_limit: int) -> DataFrame:
+    """(doc_id, at, fp, root, component_id) for each row."""
     fps = written(fingerprints(docs, words_each), "simhash-fps")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
     roots = components(links(nodes, bits, cell_limit))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    names = rooted.join(named, "root").select("fp", "component_id")
-    return fps.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, **params: int) -> DataFrame:
-    """docs with one row of each near-duplicate group: a first row of its smallest doc_id. A decision can't be addressed to a
-    row without doc_id, so such rows all stay."""
-    kept = simhash_groups(docs, **params).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == kept["_kept_id"]).drop("_kept_id")
-    first = F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY doc_id)")
-    return rows.withColumn("_nth", first).filter("_nth = 1").drop("_nth").unionByName(docs.filter("doc_id IS NULL"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return fps.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def simhash_groups(docs: DataFrame, words_each: int = 3, bits: int = 2, cell_limit: int = 64) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text)."""
+    return _grouped(docs, words_each, bits, cell_limit).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words_each: int = 3, bits: int = 2, cell_limit: int = 64) -> DataFrame:
+    """docs with one row of each near-duplicate group: the row of least doc_id, then of least text hash, then of least hash of
+    all columns that have one. A decision can't be addressed to a row without doc_id, so such rows all stay."""
+    rows = _grouped(docs, words_each, bits, cell_limit).filter("doc_id IS NOT NULL")
+    kept_id, kept_at, at, nth = fresh(docs.columns, "_kept_id", "_kept_at", "_at", "_nth")
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias(kept_id), F.col("first.at").alias(kept_at))
+    met = docs.withColumn(at, text_hash(docs)).join(kept, (F.col("doc_id").cast("long") == F.col(kept_id)) & F.col(at).eqNullSafe(F.col(kept_at)))
+    plain = [named(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    order = Window.partitionBy(kept_id, kept_at).orderBy(F.xxhash64(*plain))
+    return met.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).select(*map(named, docs.columns)).unionByName(docs.filter("doc_id IS NULL"))

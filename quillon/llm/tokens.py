@@ -20,7 +20,8 @@ WORD_BPE = "word_bpe_49k.json"
 #: Characters with the same lower case, class and normal form in both libraries; no white space but the ASCII kind.
 PLAIN = re.compile("[^\t-\r\x20-\x7e\xa1-\xac\xae-\xffĀ-įı-ž‐-‧]")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CACHE, LONG_PIECE = 300_000, 512
+#: Words that a worker keeps, the characters they may have together, and the length from which a piece goes to the library.
+CACHE, CACHE_CHARS, LONG_PIECE = 300_000, 16_000_000, 512
 END = b"\xff"
 
 
@@ -97,19 +98,20 @@ class Fertility(dict):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary(pieces))
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary(ranks), "rb"))}
         self.bpe = _tiktoken.CoreBPE(table, {}, public_tokenizers.PATTERN)
+        self.chars = 0
         self.fallback = np.array([self.sp.is_byte(i) or self.sp.is_unknown(i) for i in range(self.sp.vocab_size())])
 
     def learn(self, words: set[bytes]) -> None:
+        """Measures words that are new, each whole, in time that grows with their length."""
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE:
+        size = sum(map(len, new))
+        if len(self) + len(new) > CACHE or self.chars + size > CACHE_CHARS:
             self.clear()
-            new = list(words)
-        parts = [(w, t[i : i + LONG_PIECE]) for w in new for t in (w.decode("utf-8", "replace"),) for i in range(0, len(t), LONG_PIECE)]
-        count = self.bpe.encode_ordinary
-        for (w, text), ids in zip(parts, self.sp.encode([t for _, t in parts], num_threads=1) if parts else []):
-            more = array("H", ids).tobytes(), len(count(" " + text))
-            old = self.get(w)
-            self[w] = more if old is None else (old[0] + more[0], old[1] + more[1])
+            new, size, self.chars = list(words), sum(map(len, words)), 0
+        self.chars += size
+        every, count = [w.decode("utf-8", "replace") for w in new], self.bpe.encode_ordinary
+        for w, text, ids in zip(new, every, self.sp.encode(every, num_threads=1) if new else []):
+            self[w] = array("H", ids).tobytes(), len(count(" " + text))
 
 
 @lru_cache(4)

@@ -8,9 +8,12 @@ odds, the rest at random. Training sees at most `sample` labelled rows, at most
 that 0.5 is the threshold everywhere. labels, lang, source and doc_id are no input of a score.
 
 Scoring adds up, for each filter, precomputed responses of the word at each offset, so its cost is a few table rows a word.
-Null texts count as empty; a text without a known word has a score of its own like any other. Labels that are null, contradict
-each other for one doc_id (the larger counts) or belong to no document teach nothing. An empty table gives no row; without a
-labelled row of both kinds every score is the share of label 1 seen.
+The sampled rows come to the driver, where training runs; their texts together have at most `sample_bytes`, beyond which the rows of
+larger hash stay out. Scoring takes every text whole, in portions if it is long.
+Null texts count as empty; a text without a known word has a score of its own like any other. Labels that are null or belong to no
+document teach nothing; of labels that contradict each other for one doc_id the larger counts, and of several rows of one doc_id the
+one of least text hash. A score that ties with the threshold is 0.5 and predicts 1. Further columns may have any name. An empty table
+gives no row; without a labelled row of both kinds every score is the share of label 1 seen.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
 from quillon.llm.common import octets
+from quillon.shared import written
 
-SAMPLE, TOXIC_SHARE, LEAST_DOCS, DIM, WIDTHS, FILTERS = 6000, 0.35, 6, 8, (1, 2, 3), 8
+SAMPLE, SAMPLE_BYTES, TOXIC_SHARE, LEAST_DOCS, DIM, WIDTHS, FILTERS = 6000, 256 << 20, 0.35, 6, 8, (1, 2, 3), 8
 EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Common words by which a text shows its language; the rest is "other".
 COMMON = {
@@ -137,8 +141,29 @@ def log_odds(bags: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarra
     return z
 
 
+def add_gradient(net: Network, rows: np.ndarray, label: float, g: dict[str, np.ndarray]) -> None:
+    """Adds a text's gradient of the log loss; it passes the pools to the winning windows only."""
+    pad, dim = max(WIDTHS) - 1, net.e.shape[1]
+    best, where = net.pooled(rows)
+    on = best > 0
+    act = best * on
+    err = 1 / (1 + np.exp(-float(act @ net.out + net.out_bias))) - label
+    g["out"] += err * act
+    g["out_bias"] += err
+    d = err * net.out * on
+    g["bias"] += d
+    padded = np.concatenate([np.zeros(pad, np.int64), rows, np.zeros(pad, np.int64)])
+    for x, w in enumerate(WIDTHS):
+        for k in range(FILTERS):
+            q = x * FILTERS + k
+            if d[q]:
+                own = padded[where[q] : where[q] + w]
+                g[f"f{x}"][:, k] += d[q] * net.e[own].ravel()
+                np.add.at(g["e"], own, d[q] * net.filters[x][:, k].reshape(w, dim))
+
+
 def train(texts: list[bytes], labels: np.ndarray, least_docs: int = LEAST_DOCS, dim: int = DIM, epochs: int = 6, seed: int = 5) -> tuple[np.ndarray, Network]:
-    """(known hashes, network), by Adam on the log loss; gradients pass the pools to the winning windows only."""
+    """(known hashes, network), by Adam on the log loss."""
     rng = np.random.default_rng(seed)
     bags = [{w.strip(EDGE) for w in set(t.lower().split())} for t in texts]
     seen = Counter(h for bag in bags for h in {hashed(w) for w in bag})
@@ -157,7 +182,6 @@ def train(texts: list[bytes], labels: np.ndarray, least_docs: int = LEAST_DOCS,
     net = Network(e, filters, np.full(bank, -0.5, np.float32), np.full(bank, 0.2, np.float32), float(np.log(labels.mean() / (1 - labels.mean()))))
     params = {"e": net.e, **{f"f{i}": f for i, f in enumerate(filters)}, "bias": net.bias, "out": net.out, "out_bias": np.array([net.out_bias])}
     m, v, step = {k: np.zeros_like(p) for k, p in params.items()}, {k: np.zeros_like(p) for k, p in params.items()}, 0
-    pad = max(WIDTHS) - 1
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 64):
@@ -166,22 +190,7 @@ def train(texts: list[bytes], labels: np.ndarray, least_docs: int = LEAST_DOCS,
             g = {k: np.zeros_like(p) for k, p in params.items()}
             batch = order[at : at + 64]
             for i in batch:
-                best, where = net.pooled(rows[i])
-                on = best > 0
-                act = best * on
-                err = 1 / (1 + np.exp(-float(act @ net.out + net.out_bias))) - labels[i]
-                g["out"] += err * act
-                g["out_bias"] += err
-                d = err * net.out * on
-                g["bias"] += d
-                padded = np.concatenate([np.zeros(pad, np.int64), rows[i], np.zeros(pad, np.int64)])
-                for x, w in enumerate(WIDTHS):
-                    for k in range(FILTERS):
-                        q = x * FILTERS + k
-                        if d[q]:
-                            own = padded[where[q] : where[q] + w]
-                            g[f"f{x}"][:, k] += d[q] * net.e[own].ravel()
-                            np.add.at(g["e"], own, d[q] * net.filters[x][:, k].reshape(w, dim))
+                add_gradient(net, rows[i], labels[i], g)
             step += 1
             for k, p in params.items():
                 g[k] /= len(batch)
@@ -214,10 +223,15 @@ class Model:
 
     def __init__(self, known: np.ndarray, net: Network | None, cuts: list[float], share: float) -> None:
         self.known, self.net, self.cuts, self.share = known, net, cuts, share
+        self._words: Words | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_words": None}  # each worker gathers its own
 
-    def scores(self, texts: list[bytes], words: Words) -> np.ndarray:
+    def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.net is None:
             return np.full(len(texts), self.share)
+        words = self._words = self._words or Words(self.known)
         x = np.empty(len(texts))
         for i, t in enumerate(texts):
             rows, language = codes(t, words)
@@ -244,35 +258,34 @@ def fit(texts: list[bytes], labels: list[int], calibrate: list[bool], least: int
     return Model(known, net, cuts, float(y.mean()))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` labelled rows that aren't held out."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from at most `sample` labelled rows that aren't held out, of at most `sample_bytes` together."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropna().filter(~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).withColumn("_order", F.xxhash64("_id"))
     ones = int(sample * TOXIC_SHARE)
     first = lambda rows, n: rows.orderBy("_order", "_id").limit(n)
     known = first(known.filter("_toxic > 0"), ones).unionByName(first(known.filter("_toxic <= 0"), sample - ones))
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    met = rows.join(F.broadcast(known), rows["_doc"] == known["_id"]).select("_doc", "_text", "_toxic").dropDuplicates(["_doc"])  # sample rows at most
-    got = sorted((r["_doc"], r["_text"].encode(), int(r["_toxic"] > 0)) for r in met.toLocalIterator())
+    met = rows.join(F.broadcast(known), rows["_doc"] == known["_id"])  # sample rows at most
+    one = met.groupBy("_doc").agg(F.min(F.struct(F.xxhash64("_text"), "_text")).alias("_one"), F.first("_toxic").alias("_toxic"), F.first("_order").alias("_order"))
+    got = written(one.select("_doc", F.col("_one._text").alias("_text"), "_toxic", "_order"), "toxicity-sample")
+    size, last = 0, None
+    for r in got.select("_order", F.octet_length("_text").alias("n")).orderBy("_order", "_doc").collect():  # sample rows at most
+        size += r["n"]
+        if size > sample_bytes:
+            break
+        last = r["_order"]
+    got = sorted((r["_doc"], r["_text"].encode(), int(r["_toxic"] > 0)) for r in got.filter(F.col("_order") <= F.lit(last)).toLocalIterator())
     return fit([t for _, t, _ in got], [y for _, _, y in got], [zlib.crc32(f"calibrate {d}".encode()) % 5 == 0 for d, _, _ in got])
 
 
-_WORDS: dict[int, Words] = {}
-
-
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text)."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample))  # bounded by sample
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample, sample_bytes))  # bounded by sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
-        if id(own) not in _WORDS:
-            _WORDS.clear()
-            _WORDS[id(own)] = Words(own.known)
-        words = _WORDS[id(own)]
         for b in batches:
-            s = own.scores(octets(b.column(1)), words)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.value.scores(octets(b.column(1))))], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -21,12 +21,12 @@ def brute(rows, least=10):
 
 
 def got(df):
-    return Counter(tuple(r) for r in df.select("doc_id", "_n_lines", "_n_dropped", F.sha2("text", 256)).collect())
+    return Counter(tuple(r) for r in df.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect())
 
 
 def test_against_brute_force(docs, rows):
     out = lines.dedup_lines(docs)
-    assert out.columns == [*docs.columns, "_n_lines", "_n_dropped"]
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
     assert got(out) == brute(rows)
     assert any(r[2] for r in brute(rows))
 
