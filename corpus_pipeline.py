@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 docs. All but the last return the columns of documents. Quality rules drop what they reject; line dedup shortens texts (n_chars
 follows); near-dedup keeps one document of each group; mixing orders the rows by its schedule; packing returns the pieces of
 the sequences, packed along the curve within one window of the mix after another, so that the mix holds in the sequences too.
+
+Further columns of documents, of any name, go through the stages as they are (the last reads doc_id and text only). Nulls, empty
+texts, ties and repeated rows are as each operator states; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import lines, mixing, packing, quality, simhash
-from quillon.llm.common import scratch, table
+from quillon.llm.common import named, table
+from quillon.shared import remove, scope, scratch
 
 #: Tokens of the mix that are packed along the curve at a time.
 WINDOW = 1 << 22
@@ -25,7 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = lines.dedup_lines(docs, counts=None)
+    return out.select(*(F.length("text").cast(f.dataType).alias(f.name) if f.name == "n_chars" else named(f.name) for f in docs.schema))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +42,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs is read from the files of the mix, whose names and row numbers give its order."""
-    ordered = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
-    pieces = packing.pack(ordered, window=WINDOW, along=("mix_file", "mix_row"))
+    """docs is read from the files of the mix: the number of the task that wrote a file, that of the file in its task, and the
+    row's in the file give its order."""
+    of = docs.metadataColumn("_metadata")
+    number = lambda pattern: F.regexp_extract(of["file_name"], pattern, 1).try_cast("long")
+    ordered = docs.select("doc_id", "text", number(r"part-(\d+)").alias("mix_task"), number(r"-c(\d+)\.").alias("mix_nth"), of["file_path"].alias("mix_file"), of["row_index"].alias("mix_row"))
+    pieces = packing.pack(ordered, window=WINDOW, along=("mix_task", "mix_nth", "mix_file", "mix_row"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -55,10 +63,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what the stages wrote on the way is removed as soon as the next stage is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
         at = scratch(spark, f"pipeline-{name}")
-        out.write.option("compression", "zstd").parquet(at)
+        with scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(at)
         docs = spark.read.schema(out.schema).parquet(at)
+        if before:
+            remove(spark, before)
+        before = at
     return docs
