@@ -128,16 +128,19 @@ def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int
     compressed, to meet what they lose."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
     columns, at = docs.columns, docs.columns.index("text")
-    doc, address, gone, hashed, *more = fresh(columns, "_doc", "_at", "_gone", "_hash", *(counts or ()))
-    lost = drops(docs, least, batches, fanout).select(F.col("doc").alias(doc), F.col("at").alias(address), F.col("gone").alias(gone))
-    squeezed = T.StructType([*(T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in docs.schema), T.StructField(hashed, T.LongType())])
+    more = fresh(columns, *(counts or ()))
+    plain = [f"c{i}" for i in range(len(columns))]  # names of any kind can't pass through Python
+    lost = drops(docs, least, batches, fanout)
+    fields = [T.StructField(p, T.BinaryType() if i == at else f.dataType) for i, (p, f) in enumerate(zip(plain, docs.schema))]
+    squeezed = T.StructType([*fields, T.StructField("own", T.LongType()), T.StructField("hash", T.LongType())])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(3)
         for b in batches:
-            yield b.set_column(at, "text", pa.array([z.compress(t) for t in octets(b.column(at))], pa.binary()))
+            yield b.set_column(at, plain[at], pa.array([z.compress(t) for t in octets(b.column(at))], pa.binary()))
 
-    out = T.StructType([*docs.schema, *(T.StructField(c, T.LongType()) for c in more)])
+    fields[at] = T.StructField(plain[at], T.StringType())
+    out = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in more)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -156,8 +159,9 @@ def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int
                     dropped.append(len(own) - len(stay))
                 arrays = [*b.columns[: len(columns)], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())][: len(columns) + len(more)]
                 arrays[at] = pa.array(kept, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(arrays, [*columns, *more])
+                yield pa.RecordBatch.from_arrays(arrays, out.names)
 
-    moved = docs.withColumn(hashed, text_hash(docs)).mapInArrow(squeeze, squeezed)
-    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col(doc)) & (F.col(hashed) == F.col(address))
-    return moved.join(lost.hint("shuffle_hash"), on, "left").select(*map(named, columns), gone).mapInArrow(apply, out)
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("own")
+    moved = docs.select(*(named(c).alias(p) for c, p in zip(columns, plain)), own, text_hash(docs).alias("hash")).mapInArrow(squeeze, squeezed)
+    met = moved.join(lost.hint("shuffle_hash"), (F.col("own") == F.col("doc")) & (F.col("hash") == F.col("at")), "left")
+    return met.select(*plain, "gone").mapInArrow(apply, out).toDF(*columns, *more)

@@ -78,3 +78,27 @@ def test_more_sources_than_a_period(spark, none):
     assert sorted(r.position for r in got) == list(range(3000)) and {r.doc_id for r in got} == set(range(3000))
     assert all(r.release <= r.slot < r.deadline for r in got)
     assert mixing.in_order(docs).count() == 3000
+
+
+def test_five_thousand_sources_and_sources_without_a_weight(spark):
+    weights = [1.0 + i % 31 for i in range(5000)]
+    shares, counts = mixing.whole(weights), [1 + int(w) for w in weights]
+    total, given = sum(shares), Counter()
+    slots = 0
+    for k, j, release, deadline, t in mixing.scheduled(shares, counts):
+        assert j == given[k] and release <= t < deadline
+        given[k] += 1
+        slots += 1
+        if slots % 10_000 == 1:
+            assert all(abs(given[i] - (t + 1) * shares[i] / total) < 1 for i in range(5000) if given[i] < counts[i])
+    assert slots == sum(counts)
+    df = spark.range(6000).selectExpr("id AS doc_id", "repeat('x', 10) AS text", "concat('s', id % 3000) AS source")
+    got = mixing.mixed(df, {f"s{i}": 1.0 + i for i in range(2999)}).collect()
+    assert sorted(r.position for r in got) == list(range(6000))
+    last = [r for r in got if r.source == "s2999"]
+    assert len(last) == 2 and all(r.release is None for r in last) and {r.position for r in last} == {5998, 5999}
+
+
+def test_rows_without_doc_id_keep_their_own_place(spark):
+    df = spark.range(300).selectExpr("CAST(NULL AS LONG) AS doc_id", "repeat(CAST(id AS STRING), 50) AS text", "concat('s', id % 3) AS source")
+    assert Counter(r.text for r in mixing.in_order(df, block_chars=200).collect()) == Counter(r.text for r in df.collect())

@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 from quillon.llm import queries, quality
 
 
@@ -47,9 +48,46 @@ def test_measures_against_the_vocabularies(rows):
         if blocks:
             assert abs(entropy - sum(-c / 64 * math.log2(c / 64) for b in blocks for c in b.values()) / len(blocks)) < 1e-9
     assert quality.measures([], 0, table) == (0.0, 0.0, 0.0, 0.0, None)
-    long = ("é" * 1500).encode()
-    table.learn({long})
-    assert len(table[long][0]) > 2
+
+
+def test_long_words_are_measured_whole():
+    import random
+
+    import sentencepiece
+    from quillon.llm import tokens
+
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefgh0123456789é+/") for _ in range(10_000))
+    table = tokens.fertility(quality.PIECES, quality.RANKS)
+    table.learn({long.encode()})
+    ids, n = table[long.encode()]
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokens.vocabulary(quality.PIECES))
+    assert np.frombuffer(ids, np.uint16).tolist() == sp.encode(long)
+    assert n == len(table.bpe.encode_ordinary(" " + long))
+
+
+def test_kept_against_brute_force(spark, none):
+    import random
+    from statistics import median_low
+
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice(["an", "the", "re", "ous", "ing", "co"]) for _ in range(rng.randint(1, 4))) for _ in range(900)]
+    data = [(i, " ".join(rng.choice(vocab) + rng.choice(["", "", "###"]) * (i % 9 == 0) for _ in range(rng.randint(30, 200))), rng.choice(["en", "fr", None]), "s", 0) for i in range(150)]
+    rows = [r.asDict() for r in quality.judged(spark.createDataFrame(data, none.schema)).collect()]
+    lang = {d: l for d, _, l, *_ in data}
+    for r in rows:
+        own = [x for x in rows if lang[x["doc_id"]] == lang[r["doc_id"]] and x["n_words"] >= 50]  # all texts here are of one script
+        ok = True
+        for m, (low, high) in quality.BANDS.items():
+            values = [x[m] for x in own if x[m] is not None]
+            if r[m] is None:
+                continue
+            mid = median_low(values)
+            dev, wide = median_low([abs(v - mid) for v in values]), 1 + 10 / len(own)
+            ok &= not low or r[m] >= mid - wide * max(dev * low[0], low[1])
+            ok &= not high or r[m] <= mid + wide * max(dev * high[0], high[1])
+        assert r["kept"] == (ok and not r["base_failed"])
+    assert 0 < sum(r["kept"] for r in rows) < len(rows)
 
 
 def test_prose_stays_and_noise_goes(spark, none):

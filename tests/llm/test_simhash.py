@@ -79,3 +79,28 @@ def test_keeps_one_row_of_each_group(docs, rows, none):
     assert sorted(i for i in ids if i is not None) == sorted({c for _, _, c in want if c is not None})
     assert ids.count(None) == sum(r[0] is None for r in rows)
     assert simhash.simhash_groups(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def test_one_doc_id_with_several_texts(spark):
+    a, b, c = ("the %s word one two three four five six seven" % x for x in ("red", "blue", "green"))
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, b, "x"), (3, c, "x"), (None, c, "x"), (4, c, "x")]
+    assert len({plain(t) for _, t, _ in rows}) == 3
+    kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert sorted((d or 0, t) for d, t, _ in kept) == sorted([(1, a), (1, b), (3, c), (0, c)])
+
+
+def test_rounds_leave_one_table(spark, tmp_path):
+    from quillon import shared
+    from quillon.llm.graph import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (102, 101)], "src long, dst long")
+    made = []
+    with shared.scope(spark):
+        got = {r.node: r.root for r in components(edges).collect()}
+        made += shared._OPEN.get()[-1]
+        fs = spark._jvm.org.apache.hadoop.fs.Path(made[0]).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        there = lambda: sum(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x)) for x in made)
+        assert len(made) > 2 and there() == 1
+    assert there() == 0
+    assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
+    assert components(edges.filter("false")).count() == 0
