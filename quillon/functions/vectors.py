@@ -5,15 +5,10 @@ Distances add up in double from the first dimension to the last, so they are the
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Dimensions up to which a distance to a constant is unrolled; beyond, expressions get too deep for the planner.
-UNROLLED = 256
-
-
 def as_vector(v: Column) -> Column:
     return v.cast("array<float>")
 
@@ -25,11 +20,8 @@ def squared_l2(a: Column, b: Column) -> Column:
 
 
 def squared_l2_to(v: Column, point: Sequence[float]) -> Column:
-    """The same to a constant point, as one compiled expression a dimension, added in the same order; null for a shorter vector."""
-    if len(point) > UNROLLED:
-        return squared_l2(v, F.array(*[F.lit(float(x)) for x in point]))
-    steps = [(F.get(v, F.lit(i)).cast("double") - F.lit(float(x))) for i, x in enumerate(point)]
-    return reduce(lambda s, d: s + d * d, steps, F.lit(0.0))
+    """The same to a constant point."""
+    return squared_l2(v, F.expr(f"array({', '.join(f'{float(x)!r}D' for x in point)})"))
 
 
 def guarded_squared_l2(a: Column, b: Column) -> Column:

@@ -2,32 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import as_vector, squared_l2
 from quillon.operators.blocks import distances, matrix, nearest
 
 
-#: Rows times clusters times dimensions up to which one task trains the centroids in memory; beyond, Spark ML does.
-ONE_TASK = 500_000_000
-
-
 def kmeans(x: np.ndarray, clusters: int, seed: int, rounds: int) -> np.ndarray:
     """k-means++ and Lloyd rounds until nothing moves, over rows in an order of their own; fewer centroids if there are fewer
     different rows."""
     x = x[np.lexsort(x.T[::-1])]
     rng = np.random.default_rng(seed)
-    points = [x[rng.integers(len(x))]]
-    left = distances(x, points[0][None])[:, 0]
+    points, columns = [x[rng.integers(len(x))]], np.ascontiguousarray(x.T)
+
+    def off(point: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for c, p in zip(columns, point):
+            out += (c - p) ** 2
+        return out
+
+    left = off(points[0])
     while len(points) < clusters and (total := left.sum()) > 0:
         points.append(x[min(len(x) - 1, int(np.searchsorted(np.cumsum(left), rng.random() * total, side="right")))])
-        left = np.minimum(left, distances(x, points[-1][None])[:, 0])
-    centers, old = np.array(points), None
+        left = np.minimum(left, off(points[-1]))
+    return lloyd(x, np.array(points), rounds)
+
+
+def lloyd(x: np.ndarray, centers: np.ndarray, rounds: int) -> np.ndarray:
+    """Lloyd rounds until no row changes its center; a center without rows stays."""
+    centers, old = centers.copy(), None
     for _ in range(rounds):
         at = nearest(x, centers)
         if old is not None and (at == old).all():
@@ -39,37 +47,22 @@ def kmeans(x: np.ndarray, clusters: int, seed: int, rounds: int) -> np.ndarray:
 
 
 def train_centroids(training: DataFrame, clusters: int, seed: int = 42, rounds: int = 20, vec_col: str = "vec") -> DataFrame:
-    """(cluster_id, centroid) from a bounded sample, in one task if that is small work, else by k-means|| of Spark ML. Not more
-    clusters than different rows."""
+    """(cluster_id, centroid) from a bounded sample (see plans.index), which one task holds whatever its size. Not more clusters
+    than different rows."""
     if clusters < 1:
         raise ValueError("at least one cluster is needed")
-    spark = training.sparkSession
     rows = training.select(as_vector(F.col(vec_col)).alias("vec"))
-    size = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
-    if not size[0]:
+    dim = rows.select(F.max(F.size("vec"))).first()[0]
+    if dim is None:
         raise ValueError("no vector to train on")
-    kind = "cluster_id int, centroid array<float>"
-    if size[0] * clusters * size[1] <= ONE_TASK:
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = [matrix(b.column(0), size[1]) for b in batches if b.num_rows]
-            if parts:
-                centers = kmeans(np.concatenate(parts), clusters, seed, rounds).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centers), dtype=np.int32)), pa.array(list(centers), pa.list_(pa.float32()))], ["cluster_id", "centroid"])
-
-        return rows.repartition(1).mapInArrow(run, kind)  # not coalesce, which would read the base in one task
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = rows.cache()
-    try:
-        k = min(clusters, rows.distinct().count())
-        if k == 1:
-            return rows.limit(1).select(F.lit(0).alias("cluster_id"), F.col("vec").alias("centroid"))
-        model = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="v").fit(rows.select(array_to_vector("vec").alias("v")))
-        return spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], kind)
-    finally:
-        rows.unpersist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [matrix(b.column(0), dim) for b in batches if b.num_rows]
+        if parts:
+            centers = kmeans(np.concatenate(parts), clusters, seed, rounds).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centers), dtype=np.int32)), pa.array(list(centers), pa.list_(pa.float32()))], ["cluster_id", "centroid"])
+
+    return rows.repartition(1).mapInArrow(run, "cluster_id int, centroid array<float>")  # not coalesce, which would read the base in one task
 
 
 def lloyd_step(base: DataFrame, centroids: DataFrame, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -117,6 +110,15 @@ def ranked(points: np.ndarray, query: Sequence[float]) -> list[tuple[int, float]
     return [(int(i), float(d[i])) for i in np.lexsort((np.arange(len(d)), d))]
 
 
+def among(clusters: Iterable[int]) -> Column:
+    """Whether cluster_id is one of them, as ranges: Parquet skips by those however many there are, and not by long IN lists."""
+    ids = np.unique(np.fromiter(clusters, np.int64))
+    if not len(ids):
+        return F.lit(False)
+    runs = np.split(ids, np.flatnonzero(np.diff(ids) > 1) + 1)
+    return F.expr(" OR ".join(f"(cluster_id >= {r[0]} AND cluster_id <= {r[-1]})" for r in runs))
+
+
 def probed(points: np.ndarray, query: Sequence[float], nprobe: int) -> list[int]:
     """The nprobe nearest clusters."""
     if nprobe < 0:

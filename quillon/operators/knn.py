@@ -1,21 +1,24 @@
-"""Exact nearest neighbours: one query as a top-k over a projection, many queries as a blocked scan with partial top-k."""
+"""Exact nearest neighbours: each task keeps its best rows, for one query or a block of them, and only those are shuffled."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.vectors import as_vector, squared_l2_to, usable
-from quillon.operators.blocks import distances, matrix
+from quillon.functions.vectors import as_vector, squared_l2_to
+from quillon.operators.blocks import Best, finite_rows, pair_distances, products
+from quillon.shared import scratch, ship
 
-#: Queries that go to the executors at once; more are searched in further blocks.
+#: Queries that go to the executors at once; more are searched in further blocks, one after another.
 QUERY_BLOCK = 1024
 #: Allowed ids up to here become an IN list, more a semi join.
 IN_LIST = 1000
+FOUND = "query_id bigint, id bigint, score double"
 
 
 def checked_k(k: int) -> int:
@@ -53,7 +56,8 @@ def query_vector(query: Sequence[float], dim: int | None = None) -> list[float]:
 
 
 def scored(base: DataFrame, query: Sequence[float], id_col: str = "id", vec_col: str = "vec", keep: Sequence[str] = ()) -> DataFrame:
-    """(id, score, *keep): squared distance to the query, for vectors of its size; null, NaN or infinite if an entry is."""
+    """(id, score, *keep): squared distance to the query of all vectors of its size, in column functions; null, NaN or infinite if
+    an entry is."""
     q = query_vector(query)
     vec = as_vector(F.col(vec_col))
     rows = base.filter(F.col(id_col).isNotNull() & (F.size(vec) == len(q)))
@@ -68,20 +72,32 @@ def first_k(rows: DataFrame, k: int) -> DataFrame:
 
 def exact_knn(base: DataFrame, query: Sequence[float], k: int, id_col: str = "id", vec_col: str = "vec", where: Column | str | None = None, allowed: Sequence[int] | DataFrame | None = None) -> DataFrame:
     """(id, score) of the k nearest, nearest first, the lower id first among equals."""
-    rows = restricted(base, id_col, where, allowed)
-    return first_k(scored(rows, query, id_col, vec_col), k)
+    point, k = np.array([query_vector(query)]), checked_k(k)
+    rows = _vectors(restricted(base, id_col, where, allowed), id_col, vec_col)
+    return first_k(rows.mapInArrow(lambda it: best_exact(it, np.zeros(1, np.int64), point, k), FOUND).select("id", "score"), k)
 
 
-FOUND = "query_id bigint, id bigint, score double"
+def _vectors(base: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    ship(base.sparkSession)
+    return base.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), as_vector(F.col(vec_col)).alias("vec"))
 
 
-def query_pairs(queries: Sequence[tuple[int, Sequence[float]]] | DataFrame) -> list[tuple[int, list[float]]]:
-    """(query_id, vector) on the driver, whose searches they are; a DataFrame's first two columns."""
+def query_blocks(queries: Sequence[tuple[int, Sequence[float]]] | DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query ids, vectors) of at most `size` queries at a time; of a DataFrame, the first two columns, never all on the driver."""
     if isinstance(queries, DataFrame):
         a, b = queries.columns[:2]
         rows = queries.select(F.col(a).cast("bigint"), as_vector(F.col(b))).toLocalIterator()
-        return [(r[0], query_vector(r[1])) for r in rows]
-    return [(int(i), query_vector(v)) for i, v in queries]
+    else:
+        rows = iter(queries)
+    dim, held = None, []
+    for i, v in rows:
+        held.append((int(i), query_vector(v, dim)))
+        dim = dim or len(held[0][1])
+        if len(held) == size:
+            yield np.array([i for i, _ in held]), np.array([v for _, v in held])
+            held = []
+    if held:
+        yield np.array([i for i, _ in held]), np.array([v for _, v in held])
 
 
 def topmost(found: DataFrame, k: int) -> DataFrame:
@@ -89,42 +105,43 @@ def topmost(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def exact_knn_batch(base: DataFrame, queries: Sequence[tuple[int, Sequence[float]]] | DataFrame, k: int, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
+def in_blocks(spark: SparkSession, blocks: Iterator[tuple[np.ndarray, np.ndarray]], search: Callable[[np.ndarray, np.ndarray], DataFrame]) -> DataFrame:
+    """The rows that search(ids, vectors) gives for all blocks. One block is a lazy plan; with more, each one's result is written
+    to the shared folder before the next block is taken, so that neither the driver nor the plan grows with the queries."""
+    empty = spark.createDataFrame([], FOUND).withColumn("rank", F.lit(0))
+    first = next(blocks, None)
+    if first is None:
+        return empty
+    second = next(blocks, None)
+    if second is None:
+        return search(*first)
+    at = scratch(spark, "found")
+    for part in itertools.chain((first, second), blocks):
+        search(*part).write.mode("append").parquet(at)
+    return spark.read.schema(empty.schema).parquet(at)
+
+
+def exact_knn_batch(base: DataFrame, queries: Sequence[tuple[int, Sequence[float]]] | DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", where: Column | str | None = None, allowed: Sequence[int] | DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank) for each query. Each task keeps k rows a query of its partition, so that only those are
-    shuffled. A DataFrame of (query_id, vector) is read to the driver in blocks of QUERY_BLOCK."""
+    shuffled; queries go out in blocks of QUERY_BLOCK, with a scan for each."""
     k = checked_k(k)
-    pairs = query_pairs(queries)
-    spark = base.sparkSession
-    if not pairs or not k:
-        return spark.createDataFrame([], FOUND).withColumn("rank", F.lit(0))
-    dim = len(pairs[0][1])
-    vec = as_vector(F.col(vec_col))
-    rows = base.filter(F.col(id_col).isNotNull() & usable(vec, dim)).select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec"))
-    found: DataFrame | None = None
-    for first in range(0, len(pairs), QUERY_BLOCK):
-        part = pairs[first : first + QUERY_BLOCK]
-        names, points = np.array([i for i, _ in part]), np.array([query_vector(v, dim) for _, v in part])
-        block = rows.mapInArrow(lambda it, n=names, p=points: _best(it, n, p, k), FOUND)
-        found = block if found is None else found.unionByName(block)
-    return topmost(found, k)
-
-
-def _best(batches: Iterator[pa.RecordBatch], names: np.ndarray, points: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    return best_of(batches, names, k, lambda column: distances(matrix(column, points.shape[1]), points))
-
-
-def best_of(batches: Iterator[pa.RecordBatch], names: np.ndarray, k: int, measure: Callable[[pa.Array], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The k best rows of one partition for each query, where measure gives (rows, queries) distances of the second column;
-    holds them and one block of distances."""
-    ids, scores = np.empty((len(names), 0), np.int64), np.empty((len(names), 0))
-    for b in batches:
-        for first in range(0, b.num_rows, 1024):
-            part = b.slice(first, 1024)
-            d = measure(part.column(1)).T
-            new = np.broadcast_to(np.asarray(part.column(0), np.int64), d.shape)
-            ids, scores = np.concatenate([ids, new], axis=1), np.concatenate([scores, d], axis=1)
-            order = np.lexsort((ids, scores), axis=1)[:, :k]
-            ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-    n = ids.shape[1]
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(ids.ravel()), pa.array(scores.ravel())], ["query_id", "id", "score"])
+    rows = _vectors(restricted(base, id_col, where, allowed), id_col, vec_col)
+    blocks = query_blocks(queries, QUERY_BLOCK) if k else iter(())
+    return in_blocks(base.sparkSession, blocks, lambda names, points: topmost(rows.mapInArrow(lambda it: best_exact(it, names, points, k), FOUND), k))
+
+
+def best_exact(batches: Iterator[pa.RecordBatch], names: np.ndarray, points: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest rows of one partition for each query. Distances come from matrix products, and are summed up exactly for the
+    few that may be among the best; holds those and one block of distances."""
+    best, step = Best(len(names), k), max(64, (1 << 21) // max(1, len(names)))
+    for b in batches if k else ():
+        for first in range(0, b.num_rows, step):
+            part = b.slice(first, step)
+            x, at = finite_rows(part.column(1), points.shape[1])
+            if not len(x):
+                continue
+            r, q = best.candidates(*products(x, points))
+            d = pair_distances(x[r], points[q])
+            best.add(q, d, np.asarray(part.column(0), np.int64)[at[r]], d)
+    if len(best.id):
+        yield pa.RecordBatch.from_arrays([pa.array(names[best.query]), pa.array(best.id), pa.array(best.key)], ["query_id", "id", "score"])

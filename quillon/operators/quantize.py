@@ -6,7 +6,6 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +43,13 @@ def train_codebooks(training: DataFrame, dim: int, subspaces: int = SUBSPACES, c
     w = width(dim, subspaces)
     parts = training.select(F.col(id_col).cast("bigint").alias("id"), F.posexplode(F.array(*[F.slice(as_vector(F.col(vec_col)), m * w + 1, w) for m in range(subspaces)])).alias("m", "part"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable")
-        points = lloyd(np.array(rows["part"].tolist(), np.float64).reshape(len(rows), w), codewords, rounds)
-        return pd.DataFrame({"m": int(rows["m"].iloc[0]), "k": np.arange(codewords), "values": list(points.astype(np.float32))})
+    def run(rows: pa.Table) -> pa.Table:
+        x = matrix(rows["part"], w)[np.argsort(np.asarray(rows["id"]), kind="stable")]
+        points = lloyd(x, codewords, rounds).astype(np.float32)
+        m = np.full(codewords, rows["m"][0].as_py(), np.int32)
+        return pa.table({"m": m, "k": np.arange(codewords, dtype=np.int32), "values": pa.array(list(points), pa.list_(pa.float32()))})
 
-    return parts.groupBy("m").applyInPandas(run, BOOK)
+    return parts.groupBy("m").applyInArrow(run, BOOK)
 
 
 def seed_codebooks(base: DataFrame, dim: int, subspaces: int, codewords: int, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -113,11 +113,19 @@ def lookup_distance(code: Column, table: np.ndarray) -> Column:
 
 
 def lookup_distances(codes: pa.Array, tables: np.ndarray) -> np.ndarray:
-    """(rows, queries) of a column of codes, from (M, K, queries) tables."""
+    """(rows, queries) of a column of codes, from (M, K, queries) tables; NaN for a null code or one outside the tables."""
     if isinstance(codes, pa.ChunkedArray):
         codes = codes.combine_chunks()
-    code = np.asarray(codes.flatten(), np.int64).reshape(-1, len(tables))
-    out = np.zeros((len(code), tables.shape[2]))
-    for m in range(len(tables)):
-        out += tables[m].take(code[:, m], axis=0)
+    m, k, n = tables.shape
+    at = np.asarray(codes.offsets, np.int64)
+    good = np.asarray(codes.is_valid()) & (np.diff(at) == m)
+    code = np.zeros((len(codes), m), np.int64)
+    if good.any():
+        code[good] = codes.values.to_numpy(zero_copy_only=False)[at[:-1][good][:, None] + np.arange(m)]
+    good &= ((code >= 0) & (code < k)).all(axis=1)
+    code[~good] = 0
+    out = np.zeros((len(code), n))
+    for i in range(m):
+        out += tables[i].take(code[:, i], axis=0)
+    out[~good] = np.nan
     return out

@@ -19,11 +19,11 @@ def _lists(found: DataFrame, name: str) -> DataFrame:
     return found.groupBy("query_id").agg(F.collect_list("id").alias(name))
 
 
-def batch_recall(index: Index, queries: Sequence[tuple[int, Sequence[float]]] | DataFrame, k: int, rerank: int = 200) -> DataFrame:
+def batch_recall(index: Index, queries: Sequence[tuple[int, Sequence[float]]] | DataFrame, k: int, rerank: int = 200, nprobe: int | None = None, probe_mode: str = "exhaustive") -> DataFrame:
     """(query_id, recall) of search_batch against the exact top k."""
-    s, pairs = index.settings, knn.query_pairs(queries)
-    exact = _lists(knn.exact_knn_batch(index.base, pairs, k, s.id_col, s.vec_col), "exact")
-    found = _lists(index.search_batch(pairs, k, rerank), "found")
+    s = index.settings
+    exact = _lists(knn.exact_knn_batch(index.base, queries, k, s.id_col, s.vec_col), "exact")
+    found = _lists(index.search_batch(queries, k, rerank, nprobe, probe_mode=probe_mode), "found")
     return exact.join(found, "query_id", "left").select("query_id", F.coalesce(vectors.recall(F.col("exact"), F.col("found")), F.lit(0.0)).alias("recall"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillon.functions import vectors
 from quillon.operators import cluster, knn, quantize
 from quillon.plans import evaluate, session
-from quillon.plans.index import Index, build_index, entries
+from quillon.plans.index import Index, build_index
 from quillon.sources import vectors as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,7 +211,7 @@ def recall_of_limited_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = base_of(spark, sf_dir)
     points = cluster.centroid_array(centroids_of(base))
     at = cluster.assigned(base, points, **NAMES)
-    allowed = spark.createDataFrame([(i, c) for i, v in knn.query_pairs(asked(base)) for c in cluster.probed(points, v, 3)], "query_id bigint, cluster_id int")
+    allowed = spark.createDataFrame([(int(i), c) for names, vectors in knn.query_blocks(asked(base), knn.QUERY_BLOCK) for i, v in zip(names, vectors) for c in cluster.probed(points, v, 3)], "query_id bigint, cluster_id int")
     exact = knn.exact_knn_batch(base, asked(base), 10, **NAMES).join(at, "id")
     met = exact.join(allowed.withColumn("in", F.lit(1)), ["query_id", "cluster_id"], "left")
     return met.groupBy("query_id").agg(F.round(F.sum(F.coalesce("in", F.lit(0))) / F.count("*"), 6).alias("recall"))

@@ -50,9 +50,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return at
 
 
-def remove(spark: SparkSession, at: str) -> None:
+def _opened(spark: SparkSession, at: str) -> tuple[object, object]:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def exists(spark: SparkSession, at: str) -> bool:
+    fs, path = _opened(spark, at)
+    return fs.exists(path)
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    fs, path = _opened(spark, at)
+    fs.delete(path, True)
 
 
 @contextmanager

@@ -52,8 +52,10 @@ def write_vectors(rows: DataFrame, path: str) -> None:
 
 
 def spread(id_col: str, seed: int = 0) -> Column:
-    """A number below 2**32 that looks random but is fixed by the id."""
-    return F.pmod((F.col(id_col).cast("bigint") + F.lit(seed)) * F.lit(SPREAD), F.lit(1 << 32))
+    """A number below 2**32 that looks random but is fixed by the id, of whatever size and sign."""
+    low, two = F.pmod(F.pmod(F.col(id_col).cast("bigint"), F.lit(1 << 32)) + F.lit(seed % (1 << 32)), F.lit(1 << 32)), F.lit(1 << 16)
+    high = F.pmod(F.floor(low / two).cast("bigint") * F.lit(SPREAD), two) * two  # the product's halves, so that none overflows
+    return F.pmod(high + F.pmod(low, two) * F.lit(SPREAD), F.lit(1 << 32))
 
 
 def bernoulli_sample(df: DataFrame, percent: float, id_col: str, seed: int = 0) -> DataFrame:

@@ -114,15 +114,43 @@ def test_clusters(base):
         cluster.probed(points, ROWS[0][1], -1)
 
 
-def test_centroids_in_one_task_and_by_spark_ml(base, monkeypatch):
+def plain_lloyd(rows, points, rounds, single=False):
+    """Lloyd rounds one vector at a time, with means in double (or kept in single precision after each round)."""
+    points = [list(p) for p in points]
+    for _ in range(rounds):
+        members = [[] for _ in points]
+        for v in rows:
+            members[min(range(len(points)), key=lambda k: (sum((a - b) ** 2 for a, b in zip(v, points[k])), k))].append(v)
+        for k, own in enumerate(members):
+            if own:
+                points[k] = [sum(c) / len(own) for c in zip(*own)]
+                if single:
+                    points[k] = [float(np.float32(x)) for x in points[k]]
+    return points
+
+
+def test_centroids_by_brute_force_and_against_spark_ml(spark, base):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
     good = base.filter(vectors.usable(F.col("vec"), 16) & F.col("id").isNotNull())
     x = np.array([v for _, v, _ in ROWS])
-    cost = lambda c: blocks.distances(x, cluster.centroid_array(c)).min(axis=1).sum()
-    small = cluster.train_centroids(good, 6)
-    assert (cluster.centroid_array(small) == cluster.centroid_array(cluster.train_centroids(good.repartition(7), 6))).all()
-    monkeypatch.setattr(cluster, "ONE_TASK", 0)
-    assert abs(cost(cluster.train_centroids(good, 6)) / cost(small) - 1) < 0.15
-    assert cluster.train_centroids(good.limit(1), 4).count() == 1
+    cost = lambda c: blocks.distances(x, c).min(axis=1).sum()
+    ours = cluster.centroid_array(cluster.train_centroids(good, 6))
+    assert (ours == cluster.centroid_array(cluster.train_centroids(good.repartition(7), 6))).all()
+    start = cluster.kmeans(x, 6, 42, 0)
+    assert np.allclose(ours, plain_lloyd(x.tolist(), start.tolist(), 20), atol=1e-6)
+    theirs = np.array(KMeans(k=6, seed=42, maxIter=20, featuresCol="v").fit(good.select(array_to_vector("vec").alias("v"))).clusterCenters())
+    assert cost(ours) < 1.1 * cost(theirs) and cluster.train_centroids(good.limit(1), 4).count() == 1
+
+
+def test_codebooks_by_brute_force(base):
+    good = base.filter(vectors.usable(F.col("vec"), 16) & F.col("id").isNotNull())
+    book = quantize.book_array(quantize.train_codebooks(good, 16, 4, 16))
+    rows = [v for _, v, _ in sorted(ROWS)]
+    for m in range(4):
+        part = [v[4 * m : 4 * m + 4] for v in rows]
+        assert np.allclose(book[m], plain_lloyd(part, part[:16], 15, single=True), atol=1e-5)
 
 
 def test_codebooks_don_t_depend_on_partitions(base):
@@ -198,7 +226,8 @@ def test_save_load_and_rebuild(spark, base, index, tmp_path):
     same(back.search(q, 5).collect(), exact(q, 5))
     later = back.base.filter("id <> 1000")
     back.base = later
-    assert 1000 not in {r.id for r in back.search(ROWS[5][1], 3).collect()}
+    assert 1000 not in {r.id for r in back.search(ROWS[5][1], 3, current=True).collect()}
+    assert 1000 in {r.id for r in back.search(ROWS[5][1], 3).collect()}  # of the snapshot
 
 
 def test_by_name_and_in_sql(spark, base, index, tmp_path):
@@ -253,6 +282,92 @@ def test_samples(spark):
     assert source.reservoir_sample(df, 50, "id").count() == 50
 
 
+def test_samples_of_ids_of_any_size(spark):
+    for first in (0, 1 << 40, -(1 << 40), (1 << 63) - 20_001, -(1 << 63)):
+        df = spark.range(20_000).selectExpr(f"CAST(id + CAST('{first}' AS DECIMAL(38, 0)) AS LONG) AS id")
+        got = {r.id for r in source.bernoulli_sample(df, 10, "id").collect()}
+        assert got == {i for i in range(first, first + 20_000) if (i % (1 << 32)) * source.SPREAD % (1 << 32) < int((1 << 32) / 10)}
+        assert source.reservoir_sample(df, 50, "id", seed=-7).count() == 50
+
+
+def test_filters_over_kept_columns_need_no_base(spark, base):
+    kept = build_index(base, "k", 5, subspaces=4, codewords=32, keep=["region"]).cached()
+    q, us = ROWS[5][1], [r for r in ROWS if r[2] == "US"]
+    kept.base = base.filter("false")
+    same(kept.search(q, 4, where="s.region = 'US' AND id < 2000").collect(), exact(q, 4, us))
+    assert kept.query(q).where("region = 'US'").candidates().count() == len(us)
+    with pytest.raises(Exception):
+        kept.search(q, 4, where="nothing = 1").collect()
+
+
+def test_batches_with_filters_and_probes(index, monkeypatch):
+    import quillon.plans.index as plans
+
+    monkeypatch.setattr(plans, "LOOKUP_BLOCK", 4)
+    asked = [(i, ROWS[i][1]) for i in range(0, 100, 9)]
+    us = [r for r in ROWS if r[2] == "US"]
+    got = index.search_batch(asked, 5, where="region = 'US'").collect()
+    for i, q in asked:
+        same(sorted((r for r in got if r.query_id == i), key=lambda r: r.rank), exact(q, 5, us))
+    got = index.search_batch(asked, 5, nprobe=2, probe_mode="limit", allowed_ids=[r[0] for r in ROWS[:80]]).collect()
+    for i, q in asked:
+        one = index.search(q, 5, 2, allowed_ids=[r[0] for r in ROWS[:80]], probe_mode="limit").collect()
+        own = sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)
+        assert [r.id for r in own] == [r.id for r in one]
+    assert index.search_batch(asked, 5, nprobe=0, probe_mode="limit").count() == 0
+    short = index.search_batch(asked[:3], 3, rerank=10).collect()
+    for i, q in asked[:3]:
+        assert [r.id for r in sorted((r for r in short if r.query_id == i), key=lambda r: r.rank)] == [r.id for r in index.search(q, 3, rerank=10).collect()]
+
+
+def test_search_plans_leave_the_base_alone(spark, index, tmp_path):
+    index.save(f"{tmp_path}/x")
+    back = load_index(spark, f"{tmp_path}/x", spark.range(3).withColumn("vec", F.array(F.lit(1.0))))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (back.search(ROWS[0][1], 3), back.search(ROWS[0][1], 3, 2, probe_mode="limit"), back.search_batch([(1, ROWS[0][1])], 3)):
+        assert "Range" not in plan(df) and "Join" not in plan(df) and plan(df).count("FileScan parquet") == 1
+    limited = plan(back.search(ROWS[0][1], 3, 2, probe_mode="limit"))
+    assert "PushedFilters: [" in limited and "GreaterThanOrEqual(cluster_id" in limited.split("PushedFilters: [")[1].split("]")[0] and "Exchange hashpartitioning" not in limited
+
+
+def test_sql_surface(spark, base, tmp_path):
+    spark.conf.set(session.FOLDER, f"file://{tmp_path}/named")
+    base.filter("id IS NOT NULL").write.parquet(f"{tmp_path}/base")
+    spark.read.parquet(f"{tmp_path}/base").createOrReplaceTempView("items")
+    q = ", ".join(f"CAST({x!r} AS FLOAT)" for x in ROWS[5][1])
+    us = [r for r in ROWS if r[2] == "US"]
+    find = lambda rest: session.sql(spark, f"SELECT id, score FROM {rest} ORDER BY score, id").collect()
+    try:
+        assert session.sql(spark, "SELECT create_ivf_index('one', 'items', 'vec', 5, subspaces => 4, codewords => 32) AS done").first().done == STATUS
+        same(find(f"ann_search('one', array({q}), 5, 8)"), exact(ROWS[5][1], 5))
+        same(find("ann_search('one', (SELECT vec FROM items WHERE id = -15), 5, 8, where_clause => \"s.region = 'US'\")"), exact(ROWS[5][1], 5, us))
+        same(find(f"ann_search('one', array({q}), 4, 8, allowed_ids => array(0, 3, 6, 9, 1000, 1001))"), exact(ROWS[5][1], 4, [r for r in ROWS if r[0] in (0, 3, 6, 9, 1000, 1001)]))
+        same(find(f"ann_search('one', array({q}), 4, 8) WHERE id IN (0, 3, 6, 9)"), exact(ROWS[5][1], 4, [r for r in ROWS if r[0] in (0, 3, 6, 9)]))
+        same(find(f"ann_search('one', array({q}), 4, 8) AS f WHERE f.id > 100 AND score < 1000"), exact(ROWS[5][1], 4, [r for r in ROWS if r[0] > 100]))
+        near = exact(ROWS[5][1], 4)
+        same(find(f"ann_search('one', array({q}), 4, 8) WHERE score > 0.001"), [x for x in near if x[1] > 0.001])
+        joined = session.sql(spark, f"/* ann_search('x') */ WITH f AS (SELECT * FROM ann_search('one', array({q}), 6, 8)) SELECT f.id, region, 'ann_search(1)' AS t FROM f JOIN items i ON f.id = i.id").collect()
+        assert {(r.id, r.region) for r in joined} == {(i, dict((a, c) for a, _, c in ROWS)[i]) for i, _ in exact(ROWS[5][1], 6)}
+        assert len(find(f"ann_search('one', array({q}), 500, 8, rerank => 20)")) == 20
+        assert find(f"ann_search('one', array({q}), 5, 0, probe_mode => 'limit')") == []
+        for bad in ("ann_search('two', array(1.0F), 5, 8)", f"ann_search('one', array({q}), 5, -1)", f"ann_search('one', array({q}), -5, 1)", "ann_search('one', array(1.0F), 5, 8)", f"ann_search('one', array({q}), 5, 8, 9)"):
+            with pytest.raises(ValueError):
+                find(bad)
+        assert session.sql(spark, "SELECT count(*) AS n FROM items").first().n > 100
+    finally:
+        spark.conf.unset(session.FOLDER)
+
+
+def test_temporary_folders_only_in_local_mode():
+    from types import SimpleNamespace
+
+    from quillon import shared
+
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            shared.temporary(SimpleNamespace(sparkContext=SimpleNamespace(master=master)), "x", "spark.checkpoint.dir")
+
+
 def test_streamed_vectors_get_the_batch_codes(spark, base, index, tmp_path):
     from quillon.streaming.encode import append_stream
 
@@ -260,7 +375,14 @@ def test_streamed_vectors_get_the_batch_codes(spark, base, index, tmp_path):
     stream = spark.readStream.schema(base.schema).parquet(f"{tmp_path}/in")
     append_stream(index, stream, f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination(120)
     key = lambda rows: sorted((r.cluster_id, r.id, tuple(r.code)) for r in rows)
-    assert key(spark.read.parquet(f"{tmp_path}/out/entries").collect()) == key(index.entries.collect())
+    assert key(spark.read.parquet(f"{tmp_path}/out/streamed").collect()) == key(index.entries.collect())
+    few = build_index(base.filter("id < 1000"), "few", 5, subspaces=4, codewords=32)
+    few.save(f"{tmp_path}/few")
+    late = spark.readStream.schema(base.schema).parquet(f"{tmp_path}/in").filter("id >= 1000")
+    append_stream(few, late, f"{tmp_path}/few", f"{tmp_path}/log2").awaitTermination(120)
+    same(load_index(spark, f"{tmp_path}/few", base).search(ROWS[5][1], 4).collect(), exact(ROWS[5][1], 4))
+    load_index(spark, f"{tmp_path}/few", base).save(f"{tmp_path}/again")
+    assert load_index(spark, f"{tmp_path}/again", base).entries.count() == len(ROWS)
 
 
 def test_evaluation(index):
