@@ -15,9 +15,12 @@ from quillon.operators import cluster, knn, quantize
 from quillon.plans import evaluate, session
 from quillon.plans.index import Index, build_index
 from quillon.sources import vectors as source
+from quillon.shared import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 CLUSTERS, WORDS, PARTS, WIDTH = 8, 16, 16, 4
+#: Rows that the approximate searches re-rank: few even of the smallest table.
+SHORT = 50
 NAMES = {"id_col": "vec_id", "vec_col": "embedding"}
 ALLOWED = [3, 7, 31, 64, 100, 101, 255, 256, 333, 499]
 
@@ -172,22 +175,22 @@ def train_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trained_index(base: DataFrame) -> Index:
-    return build_index(base, "trained", CLUSTERS, **NAMES)
+    return build_index(base, "trained", CLUSTERS, **NAMES, keep=["label"])
 
 
 def ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = base_of(spark, sf_dir)
-    return shown(trained_index(base).query(first_vector(base)).nearest(10))
+    return shown(trained_index(base).query(first_vector(base)).rerank(SHORT).nearest(10))
 
 
 def ann_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = base_of(spark, sf_dir)
-    return shown(trained_index(base).query(first_vector(base)).where("label IN (1, 2)").ids(base.filter("vec_id % 3 = 0").select("vec_id")).nearest(10))
+    return shown(trained_index(base).query(first_vector(base)).where("label IN (1, 2)").ids(base.filter("vec_id % 3 = 0").select("vec_id")).rerank(SHORT).nearest(10))
 
 
 def ann_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = base_of(spark, sf_dir)
-    return shown(trained_index(base).search_batch(asked(base), 5), "query_id", "rank")
+    return shown(trained_index(base).search_batch(asked(base), 5, SHORT), "query_id", "rank")
 
 
 def ann_saved_and_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +244,100 @@ def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.vector_table_info(base_of(spark, sf_dir)).filter("name <> 'embedding'").select("position", "name")
+    return source.vector_table_info(base_of(spark, sf_dir))
+
+
+def bernoulli_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample that comes out empty is the whole table."""
+    return source.bernoulli_or_all(base_of(spark, sf_dir), 0.0, "vec_id").select("vec_id", "label")
+
+
+def fvecs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors written to .fvecs files and read back, with their sums."""
+    at = scratch(spark, "fvecs")
+    source.write_fvecs(base_of(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), at)
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return source.read_fvecs(spark, at, PARTS * WIDTH).select(F.col("id").alias("vec_id"), F.size("vec").cast("long").alias("dim"), F.round(total, 6).alias("total"))
+
+
+def index_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of a saved index that hold bytes, and the entries' ids."""
+    session.create_index(spark, "measured", f"{sf_dir}/embeddings.parquet", "embedding", CLUSTERS, "vec_id")
+    sizes = source.table_sizes(spark, f"{session.index_folder(spark)}/measured").filter("bytes > 0 AND name IN ('centroids', 'codebooks', 'entries', 'metadata')")
+    n = session.open_index(spark, "measured").entries.agg(F.count("*").alias("n_entries"))
+    return sizes.select("name").crossJoin(n)  # one row
+
+
+def flattened_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sub-vectors put together again are the vector."""
+    parts = F.array(*[vectors.subvector(F.col("embedding"), m, WIDTH) for m in range(PARTS)])
+    whole = vectors.flattened(parts)
+    total = F.aggregate(F.transform(whole, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return base_of(spark, sf_dir).select("vec_id", F.size(whole).cast("long").alias("dim"), F.round(total, 6).alias("weighed"))
+
+
+def speed_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base_of(spark, sf_dir).select("vec_id", vectors.speed_up((F.col("vec_id") + 1).cast("double"), F.col("label").cast("double")).alias("speed_up"))
+
+
+def clusters_of_few_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of three rows are the three rows."""
+    found = cluster.train_centroids(base_of(spark, sf_dir).filter("vec_id < 3"), CLUSTERS, vec_col="embedding")
+    return found.select(F.round(F.col("centroid")[0].cast("double"), 6).alias("first"), F.round(F.col("centroid")[63].cast("double"), 6).alias("last"))
+
+
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What raises instead of giving no index or no rows."""
+    base = base_of(spark, sf_dir)
+    q = first_vector(base)
+    cases = {
+        "empty training": lambda: build_index(base.filter("vec_id < 0"), "x", CLUSTERS, **NAMES),
+        "dimension not divisible": lambda: build_index(base, "x", CLUSTERS, **NAMES, subspaces=7),
+        "no cluster": lambda: cluster.train_centroids(base, 0, vec_col="embedding"),
+        "missing index": lambda: session.ann_search(spark, "never built", q, 10),
+        "negative k": lambda: knn.exact_knn(base, q, -1, **NAMES),
+        "negative nprobe": lambda: cluster.probed(cluster.centroid_array(centroids_of(base)), q, -1),
+        "query of another size": lambda: seeded_index(base).query(q[:5]),
+    }
+
+    def raises(call: Callable[[], object]) -> bool:
+        try:
+            call()
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(name, raises(call)) for name, call in cases.items()], "case string, raises boolean")
+
+
+def seeded_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fifteen rounds of codebook training in all subspaces, with few codewords."""
+    book = quantize.train_codebooks(base_of(spark, sf_dir), PARTS * WIDTH, codewords=WORDS, **NAMES)
+    return book.select("m", "k", F.posexplode("values").alias("pos", "x")).select("m", "k", "pos", F.round(F.col("x").cast("double"), 3).alias("value"))
+
+
+def recall_of_seeded_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of ten by shortlists of 60 under the seeded codes, of each query, and their mean."""
+    base = base_of(spark, sf_dir)
+    each = evaluate.batch_recall(seeded_index(base), asked(base), 10, rerank=60)
+    mean = each.agg(F.lit(-1).cast("long").alias("query_id"), F.avg("recall").alias("recall"))
+    return each.unionByName(mean).select("query_id", F.round("recall", 6).alias("recall"))
+
+
+def sql_create_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base_of(spark, sf_dir).createOrReplaceTempView("embeddings_sql")
+    return session.sql(spark, "SELECT create_ivf_index('by_sql', 'embeddings_sql', 'embedding', 8, id_col => 'vec_id', keep => array('label')) AS status")
+
+
+def sql_ann_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By name in SQL: a where_clause, allowed ids and a WHERE above the call all restrict the candidates before any are ranked."""
+    sql_create_index(spark, sf_dir)
+    call = "ann_search('by_sql', (SELECT embedding FROM embeddings_sql WHERE vec_id = 0), 10, 8, %s)"
+    one = call % 'where_clause => "s.label IN (1, 2)"'
+    two = call % f"allowed_ids => array({', '.join(map(str, ALLOWED))})"
+    three = call % "rerank => 100" + " f WHERE f.id > 100 AND id IN (1, 5, 150, 180, 333, 401, 402, 403)"
+    parts = [f"SELECT {n} AS part, id AS vec_id, round(CAST(score AS DOUBLE), 4) AS score FROM {x}" for n, x in enumerate((one, two, three))]
+    return session.sql(spark, " UNION ALL ".join(parts))
 
 
 def sub_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +356,7 @@ def sql_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = base_of(spark, sf_dir)
-    session.register_search(spark, trained_index(base))
+    session.register_search(spark, trained_index(base), rerank=SHORT)
     q = ", ".join(f"CAST({x!r} AS FLOAT)" for x in first_vector(base))
     return spark.sql(f"SELECT id AS vec_id, round(CAST(score AS DOUBLE), 4) AS score FROM ann_search(array({q}), 10)")
 
@@ -292,7 +388,17 @@ JOIN (SELECT vec_id AS k, m, {_PART} AS v FROM embeddings, range({PARTS}) t(m) W
 _TABLE = f"""SELECT c.m, c.k, {_d('c.v', 'q.v', WIDTH)} AS d FROM (SELECT vec_id AS k, m, {_PART} AS v FROM embeddings, range({PARTS}) t(m) WHERE vec_id < {WORDS}) c
 JOIN (SELECT m, {_PART} AS v FROM embeddings, range({PARTS}) t(m) WHERE vec_id = 0) q USING (m)"""
 _LOOKUP = f"SELECT vec_id, sum(d) AS a FROM ({_CODES}) JOIN ({_TABLE}) USING (m, k) GROUP BY vec_id"
-_SPREAD = f"(vec_id * {source.SPREAD}) % 4294967296"
+_SPREAD = f"((vec_id % 4294967296 + 4294967296) % 4294967296 * {source.SPREAD}::HUGEINT) % 4294967296"
+_WORDS = f"(SELECT vec_id, m, {_PART} AS v FROM embeddings, range({PARTS}) t(m))"
+_TABLES = f"""SELECT q.vec_id AS query_id, c.m, c.vec_id AS k, {_d('c.v', 'q.v', WIDTH)} AS d FROM {_WORDS} c JOIN {_WORDS} q USING (m) WHERE c.vec_id < {WORDS} AND q.vec_id % 50 = 0"""
+_ROUNDS = f"""WITH RECURSIVE book(r, m, k, v) AS (
+  SELECT 0, m, vec_id, v FROM {_WORDS} WHERE vec_id < {WORDS}
+  UNION ALL
+  SELECT b.r + 1, b.m, b.k, CASE WHEN n.v IS NULL THEN b.v ELSE n.v END FROM book b LEFT JOIN (
+    SELECT m, k, [avg(v[1]::DOUBLE)::FLOAT, avg(v[2]::DOUBLE)::FLOAT, avg(v[3]::DOUBLE)::FLOAT, avg(v[4]::DOUBLE)::FLOAT] AS v FROM (
+      SELECT e.m, e.v, arg_min(c.k, {_d('e.v', 'c.v', WIDTH)} * 1e6 + c.k * 1e-15) AS k FROM {_WORDS} e JOIN book c USING (m) GROUP BY e.vec_id, e.m, e.v) GROUP BY m, k) n USING (m, k)
+  WHERE b.r < {quantize.ROUNDS})
+SELECT CAST(m AS INTEGER) AS m, CAST(k AS INTEGER) AS k, CAST(i - 1 AS INTEGER) AS pos, ROUND(v[i]::DOUBLE, 3) AS value FROM book, range(1, 5) t(i) WHERE r = {quantize.ROUNDS}"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -335,7 +441,24 @@ def oracle_sql() -> dict[str, str]:
         "reservoir_sample": f"SELECT vec_id, label FROM embeddings ORDER BY {_SPREAD}, vec_id LIMIT 25",
         "limited_scan": "SELECT vec_id, ROUND(embedding[1]::DOUBLE, 6) AS first FROM embeddings ORDER BY vec_id LIMIT 100",
         "base_counts": "SELECT count(*) AS n_rows, max(vec_id) AS max_id, CAST(count(*) AS BIGINT) AS n_usable, CAST(max(len(embedding)) AS BIGINT) AS dim FROM embeddings",
-        "table_info": "SELECT * FROM (VALUES (0, 'vec_id'), (2, 'label')) t(position, name)",
+        "table_info": "SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'FLOAT[]' THEN 'array<float>' END AS type FROM (DESCRIBE embeddings)",
+        "bernoulli_fallback": "SELECT vec_id, label FROM embeddings",
+        "fvecs_files": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim, ROUND(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings",
+        "index_tables": "SELECT name, n_entries FROM (VALUES ('centroids'), ('codebooks'), ('entries'), ('metadata')) t(name), (SELECT count(*) AS n_entries FROM embeddings)",
+        "flattened_parts": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim, ROUND(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * i)), 6) AS weighed FROM embeddings",
+        "speed_ups": "SELECT vec_id, CASE WHEN label > 0 THEN (vec_id + 1)::DOUBLE / label ELSE 'inf'::DOUBLE END AS speed_up FROM embeddings",
+        "clusters_of_few_rows": "SELECT ROUND(embedding[1]::DOUBLE, 6) AS first, ROUND(embedding[64]::DOUBLE, 6) AS last FROM embeddings WHERE vec_id < 3",
+        "refusals": "SELECT *, true AS raises FROM (VALUES ('empty training'), ('dimension not divisible'), ('no cluster'), ('missing index'), ('negative k'), ('negative nprobe'), ('query of another size')) t(\"case\")",
+        "seeded_codebooks": _ROUNDS,
+        "recall_of_seeded_shortlist": f"""WITH each AS (SELECT b.query_id, count(s.vec_id) / 10.0 AS recall FROM (SELECT * FROM ({_BATCH}) WHERE rank <= 10) b
+            LEFT JOIN (SELECT query_id, vec_id FROM (SELECT t.query_id, c.vec_id, row_number() OVER (PARTITION BY t.query_id ORDER BY sum(t.d), c.vec_id) AS n FROM ({_CODES}) c JOIN ({_TABLES}) t USING (m, k) GROUP BY 1, 2) WHERE n <= 60) s
+            ON s.query_id = b.query_id AND s.vec_id = b.vec_id GROUP BY 1)
+            SELECT query_id, ROUND(recall::DOUBLE, 6) AS recall FROM each UNION ALL SELECT -1, ROUND(avg(recall::DOUBLE), 6) FROM each""",
+        "sql_create_index": "SELECT 'Index created successfully' AS status",
+        "sql_ann_search_filtered": " UNION ALL ".join(
+            f"SELECT {n} AS part, vec_id, ROUND(d, 4) AS score FROM ({_SCORED} WHERE {w} ORDER BY d, e.vec_id LIMIT 10)"
+            for n, w in enumerate(("e.label IN (1, 2)", f"e.vec_id IN ({', '.join(map(str, ALLOWED))})", "e.vec_id IN (150, 180, 333, 401, 402, 403)"))
+        ),
         "sub_vectors": f"SELECT e.vec_id, ROUND({_d('e.embedding[9:12]', 'q.v[9:12]', WIDTH)}, 6) AS part, true AS guarded FROM embeddings e, {_Q}",
         "sql_distance": f"SELECT vec_id, ROUND(sqrt(d), 6) AS distance FROM ({_SCORED})",
         "sql_ann_search": (_TOP % (_SCORED, 10)).replace("ROUND(d, 6)", "ROUND(d, 4)"),
@@ -350,5 +473,7 @@ def queries() -> dict[str, Query]:
         probe_counts, limited_probe, pq_encode, pq_query_table, pq_distance, pq_exact_fallback, shortlist_rerank, lloyd_step, subspace_lloyd_step, train_codebooks,
         train_centroids, ann_search, ann_search_filtered, ann_search_batch, ann_saved_and_loaded, index_catalog, recall_of_batch, recall_of_limited_probe, compression,
         bernoulli_sample, reservoir_sample, limited_scan, base_counts, table_info, sub_vectors, sql_distance, sql_ann_search, label_neighbours,
+        bernoulli_fallback, fvecs_files, index_tables, flattened_parts, speed_ups, clusters_of_few_rows, refusals, seeded_codebooks, recall_of_seeded_shortlist,
+        sql_create_index, sql_ann_search_filtered,
     )
     return {f.__name__: f for f in found}
