@@ -74,6 +74,11 @@ def codes_of(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.stack([nearest(x[:, m * w : (m + 1) * w], book[m]) for m in range(len(book))], axis=1)
 
 
+def decoded(code: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The vectors that codes (rows, M) stand for."""
+    return np.concatenate([words[code[:, m]] for m, words in enumerate(book)], axis=1)
+
+
 def encode(base: DataFrame, book: np.ndarray, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
     """(id, code array<smallint>): the nearest codeword of each sub-vector, the lower index among equals. Arrow batches."""
     dim = book.shape[0] * book.shape[2]
@@ -129,3 +134,10 @@ def lookup_distances(codes: pa.Array, tables: np.ndarray) -> np.ndarray:
         out += tables[i].take(code[:, i], axis=0)
     out[~good] = np.nan
     return out
+
+
+def least_distances(found: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """What exact squared distances can't be below, by the triangle inequality: from lookup distances (rows, queries) and how far
+    each row is off the vector that its code stands for. 0 where either is unknown."""
+    low = np.maximum(np.sqrt(found) - off[:, None], 0.0) ** 2 - 1e-9 * (found + off[:, None] ** 2)
+    return np.where(np.isnan(low), 0.0, low)

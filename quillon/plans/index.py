@@ -1,8 +1,9 @@
 """Building, keeping and searching an index of coarse clusters and product-quantized codes.
 
-The index is one table (cluster_id, id, code, vec, kept columns), laid out by cluster, and three small ones (centroids, codebooks,
+The index is one table (cluster_id, id, code, vec, off, kept columns), laid out by cluster, and three small ones (centroids, codebooks,
 metadata). A search ranks entries by table-lookup distance, takes the `rerank` best and orders those by exact distance; it reads the
-entries only, and of them only the probed clusters in the mode "limit". The index is a snapshot: rows that the base gains, loses or
+entries only, and of them only the probed clusters in the mode "limit". A `complete` search gives the true nearest of the entries that
+it searches: it leaves out only entries that their code and their distance `off` what it stands for prove too far. The index is a snapshot: rows that the base gains, loses or
 changes later don't count, unless a search asks to be `current`, which joins its candidates with the base: lost rows drop out, and
 changed vectors are re-ranked by their new value under their old code."""
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.vectors import as_vector, squared_l2_to, usable
 from quillon.operators import cluster, quantize
-from quillon.operators.blocks import Best, distances, finite_rows, matrix, nearest, pair_distances
+from quillon.operators.blocks import Best, distances, finite_rows, matrix, nearest, pair_distances, products
 from quillon.operators.knn import FOUND, IN_LIST, best_exact, checked_k, first_k, in_blocks, query_blocks, query_vector, restricted, scored, topmost
 from quillon.shared import exists, fresh, remove, ship
 
@@ -108,7 +109,7 @@ class Index:
         for p in where:
             kept = [f.name for f in self.entries.schema["kept"].dataType.fields]
             own, *hidden = fresh([s.id_col, s.vec_col, *kept], "_entry", *("_cluster", "_code"))
-            view = rows.select(F.struct(F.col("cluster_id"), F.col("id"), F.col("code"), F.col("vec"), F.col("kept")).alias(own), F.col("id").alias(s.id_col), F.col("vec").alias(s.vec_col), *(F.col(f"kept.`{c}`") for c in kept))
+            view = rows.select(F.struct("cluster_id", "id", "code", "vec", "off", "kept").alias(own), F.col("id").alias(s.id_col), F.col("vec").alias(s.vec_col), *(F.col(f"kept.`{c}`") for c in kept))
             try:
                 rows = restricted(view, s.id_col, where=p).select(f"{own}.*")
             except AnalysisException as e:
@@ -118,10 +119,11 @@ class Index:
                 rows = rows.join(base, F.col("id") == F.col("_id"), "left_semi")
         return rows
 
-    def search_batch(self, queries: Sequence[tuple[int, Sequence[float]]] | DataFrame, k: int, rerank: int = RERANK, nprobe: int | None = None, where: Column | str | None = None, allowed_ids: Sequence[int] | DataFrame | None = None, probe_mode: str = "exhaustive") -> DataFrame:
+    def search_batch(self, queries: Sequence[tuple[int, Sequence[float]]] | DataFrame, k: int, rerank: int = RERANK, nprobe: int | None = None, where: Column | str | None = None, allowed_ids: Sequence[int] | DataFrame | None = None, probe_mode: str = "exhaustive", complete: bool = False) -> DataFrame:
         """(query_id, id, score, rank) for many queries in one pass over the entries (in the mode "limit": those of the clusters
         that any query probes) for each block of LOOKUP_BLOCK queries. Each task keeps its `rerank` best a query with their exact
-        distances, so no join follows, and only those are shuffled."""
+        distances, so no join follows, and only those are shuffled. A `complete` search has no shortlist: each task keeps the k
+        nearest."""
         k, rerank, limit = checked_k(k), checked_k(rerank), checked_probe(nprobe, probe_mode)
         rows = self.allowed([] if where is None else [where], [] if allowed_ids is None else [allowed_ids])
         ship(rows.sparkSession)
@@ -137,11 +139,13 @@ class Index:
                 probes = np.zeros((len(points), len(names)), bool)
                 probes[order, np.arange(len(names))[:, None]] = True
                 some = rows.filter(cluster.among(np.flatnonzero(probes.any(axis=1))))
+            if complete:
+                return topmost(some.select("cluster_id", "id", "code", "vec", "off").mapInArrow(lambda it: certain(it, names, vectors, tables, probes, k), FOUND), k)
             short = some.select("cluster_id", "id", "code", "vec").mapInArrow(lambda it: shortlisted(it, names, vectors, tables, probes, rerank), FOUND + ", approximate double")
             nth = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY approximate, id)")
             return topmost(short.withColumn("_nth", nth).filter(F.col("_nth") <= rerank).select("query_id", "id", "score"), k)
 
-        return in_blocks(rows.sparkSession, query_blocks(queries, LOOKUP_BLOCK) if k and rerank else iter(()), block)
+        return in_blocks(rows.sparkSession, query_blocks(queries, LOOKUP_BLOCK) if k and (rerank or complete) else iter(()), block)
 
     def save(self, folder: str) -> None:
         """Replaces what the folder holds; entries are laid out by cluster, so that a limited search reads only its clusters."""
@@ -191,6 +195,34 @@ def shortlisted(batches: Iterator[pa.RecordBatch], names: np.ndarray, vectors: n
         yield pa.RecordBatch.from_arrays([pa.array(names[best.query]), pa.array(best.id), pa.array(best.value), pa.array(best.key)], ["query_id", "id", "score", "approximate"])
 
 
+def certain(batches: Iterator[pa.RecordBatch], names: np.ndarray, vectors: np.ndarray, tables: np.ndarray, probes: np.ndarray | None, k: int, reach: float = np.inf) -> Iterator[pa.RecordBatch]:
+    """For each query the k nearest entries (cluster_id, id, code, vec, off) of one partition, of the clusters it probes, none missed:
+    an entry is left unmeasured only if it can't be as near as the k-th so far, or as `reach`. Holds those and one block of distances."""
+    best, step = Best(len(names), k), max(64, (1 << 20) // max(1, len(names)))
+    for b in batches if k else ():
+        for first in range(0, b.num_rows, step):
+            part = b.slice(first, step)
+            x, at = finite_rows(part.column(3), vectors.shape[1])
+            if not len(x):
+                continue
+            low = quantize.least_distances(quantize.lookup_distances(part.column(2), tables)[at], part.column(4).to_numpy(zero_copy_only=False).astype(np.float64)[at])
+            far = low > np.minimum(best.worst, reach)
+            if probes is not None:
+                far |= ~probes[np.asarray(part.column(0))[at]]
+            left = np.flatnonzero(~far.all(axis=1))
+            if not len(left):
+                continue
+            keys, slack = products(x[left], vectors)
+            keys[far[left]] = np.inf
+            r, q = best.candidates(keys, slack)
+            fine = np.isfinite(keys[r, q])
+            r, q = left[r[fine]], q[fine]
+            d = pair_distances(x[r], vectors[q])
+            best.add(q, d, np.asarray(part.column(1), np.int64)[at[r]], d)
+    if len(best.id):
+        yield pa.RecordBatch.from_arrays([pa.array(names[best.query]), pa.array(best.id), pa.array(best.key)], ["query_id", "id", "score"])
+
+
 def nominated(batches: Iterator[pa.RecordBatch], tables: np.ndarray, rerank: int) -> Iterator[pa.RecordBatch]:
     """(cluster_id, id, approximate) of the `rerank` entries (cluster_id, id, code) of one partition that are nearest by their codes."""
     best = Best(1, rerank)
@@ -211,7 +243,9 @@ def load_index(spark: SparkSession, folder: str, base: DataFrame | None = None)
     part = lambda x: spark.read.parquet(f"{folder}/{x}")
     entries = part("entries")
     if exists(spark, f"{folder}/streamed"):
-        entries = entries.unionByName(part("streamed"))
+        entries = entries.unionByName(part("streamed"), allowMissingColumns=True)
+    if "off" not in entries.columns:  # saved before there was one
+        entries = entries.withColumn("off", F.lit(None).cast("double"))
     return Index(settings, base, part("centroids"), part("codebooks"), entries, stored=True)
 
 
@@ -246,16 +280,17 @@ def build_index(base: DataFrame, name: str, clusters: int, id_col: str = "id", v
 
 
 def entries(rows: DataFrame, book: np.ndarray, points: np.ndarray) -> DataFrame:
-    """(cluster_id, id, code, vec, kept) of rows (id, vec, kept), in one pass over the vectors."""
+    """(cluster_id, id, code, vec, off, kept) of rows (id, vec, kept), in one pass over the vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1), points.shape[1])
             at, code = nearest(x, points).astype(np.int32), quantize.codes_of(x, book).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), pa.array(list(code), pa.list_(pa.int16())), b.column(1), b.column(2)], ["cluster_id", "id", "code", "vec", "kept"])
+            off = np.sqrt(pair_distances(x, quantize.decoded(code, book)))
+            yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), pa.array(list(code), pa.list_(pa.int16())), b.column(1), pa.array(off), b.column(2)], ["cluster_id", "id", "code", "vec", "off", "kept"])
 
     kind = rows.schema["kept"].dataType.simpleString()
-    return rows.select("id", "vec", "kept").mapInArrow(run, f"cluster_id int, id bigint, code array<smallint>, vec array<float>, kept {kind}")
+    return rows.select("id", "vec", "kept").mapInArrow(run, f"cluster_id int, id bigint, code array<smallint>, vec array<float>, off double, kept {kind}")
 
 
 @dataclass(frozen=True)

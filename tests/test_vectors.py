@@ -394,3 +394,37 @@ def test_evaluation(index):
     found = evaluate.filter_study(index, queries[0], ["region = 'US'", "region = 'nowhere'"]).collect()
     assert [r.result_count for r in found] == [10, 0] and all(r.speed_up > 0 for r in found)
     assert tuple(evaluate.code_compression(index).first()) == (len(ROWS), 4 * len(ROWS), 16.0)
+
+
+def test_complete_batches_miss_nothing_that_a_shortlist_does(base, index, monkeypatch):
+    """One entry re-ranked a query isn't enough for five; a complete search finds all, over several blocks of queries, with entries
+    that have no code, and within the probed clusters alone."""
+    asked = [(i, [x + 0.3 for x in ROWS[i][1]]) for i in range(12)]
+    assert index.search_batch(asked, 5, 1).count() == 12
+    monkeypatch.setattr("quillon.plans.index.LOOKUP_BLOCK", 5)
+    stripped = load_like(index, index.entries.withColumn("code", F.when(F.col("id") % 2 == 0, F.col("code"))).withColumn("off", F.when(F.col("id") % 3 != 0, F.col("off"))))
+    at = {r.id: r.cluster_id for r in index.entries.select("id", "cluster_id").collect()}
+    for one in (index, stripped):
+        for limit in (None, 2):
+            got = one.search_batch(asked, 5, 1, limit, probe_mode="limit" if limit else "exhaustive", complete=True).orderBy("query_id", "rank").collect()
+            for i, q in asked:
+                q = [float(np.float32(x)) for x in q]
+                rows = [r for r in ROWS if limit is None or at[r[0]] in cluster.probed(index.points, q, limit)]
+                same([r for r in got if r.query_id == i], exact(q, 5, rows))
+
+
+def load_like(index, entries):
+    return type(index)(index.settings, index.base, index.centroids, index.codebooks, entries)
+
+
+def test_least_distances_are_never_above_the_distance():
+    rng = np.random.default_rng(3)
+    x, book, q = rng.normal(size=(400, 8)).astype(np.float32).astype(float), rng.normal(size=(2, 5, 4)), rng.normal(size=(7, 8))
+    x[:5], q[0] = quantize.decoded(np.arange(5)[:, None].repeat(2, 1), book), x[9]
+    code = quantize.codes_of(x, book)
+    tables = np.stack([quantize.query_table(book, v) for v in q], axis=2)
+    found = tables[0][code[:, 0]] + tables[1][code[:, 1]]
+    low = quantize.least_distances(found, np.sqrt(blocks.pair_distances(x, quantize.decoded(code, book))))
+    d = blocks.distances(x, q)
+    assert (low <= d).all() and (low[5:] > 0.1 * d[5:]).any()
+    assert (quantize.least_distances(np.array([[np.nan], [4.0]]), np.array([1.0, np.nan])) == 0).all()
