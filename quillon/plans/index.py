@@ -305,6 +305,7 @@ class Search:
     shortlist: int = RERANK
     fallback: bool = False
     joined: bool = False
+    whole: bool = False
 
     def where(self, predicate: Column | str) -> Search:
         return replace(self, predicates=(*self.predicates, predicate))
@@ -328,6 +329,11 @@ class Search:
         """The shortlist is re-ranked by the base as it is now: rows that it has lost drop out, changed vectors count as they are."""
         return replace(self, joined=True)
 
+    def complete(self) -> Search:
+        """The true nearest of the entries that the search allows, whatever the shortlist: see certain. Not together with current,
+        as codes say nothing of changed vectors (there is exact_knn for that)."""
+        return replace(self, whole=True)
+
     def _allowed(self) -> DataFrame:
         rows = self.index.allowed(self.predicates, self.allowed)
         if self.clusters is not None:
@@ -350,6 +356,10 @@ class Search:
         s, rows = self.index.settings, self._allowed()
         table, point, one, most = quantize.query_table(self.index.book, self.vector)[:, :, None], np.array([self.vector]), np.zeros(1, np.int64), self.shortlist
         ship(rows.sparkSession)
+        if self.whole:
+            if self.joined:
+                raise ValueError("a complete search can't be current")
+            return first_k(rows.select("cluster_id", "id", "code", "vec", "off").mapInArrow(lambda it: certain(it, one, point, table, None, k), FOUND).select("id", "score"), k)
         if self.clusters is None and self.index.stored and most <= IN_LIST and not (self.joined or self.fallback):
             named = rows.select("cluster_id", "id", "code").mapInArrow(lambda it: nominated(it, table, most), "cluster_id int, id bigint, approximate double")
             found = named.orderBy("approximate", "id").limit(most).collect()

@@ -413,6 +413,20 @@ def test_complete_batches_miss_nothing_that_a_shortlist_does(base, index, monkey
                 same([r for r in got if r.query_id == i], exact(q, 5, rows))
 
 
+def test_a_complete_search_with_restrictions_misses_nothing(index):
+    q = [float(np.float32(x + 0.3)) for x in ROWS[9][1]]
+    some = [r for r in ROWS[:80] if r[2] == "US"]
+    search = index.query(q).where("region = 'US'").ids([r[0] for r in ROWS[:80]]).rerank(2)
+    assert search.nearest(6).count() == 2
+    same(search.complete().nearest(6).collect(), exact(q, 6, some))
+    assert search.complete().nearest(0).count() == 0 and search.complete().nearest(1000).count() == len(some)
+    at = {r.id: r.cluster_id for r in index.entries.select("id", "cluster_id").collect()}
+    near = cluster.probed(index.points, q, 2)
+    same(search.probe(2).complete().nearest(6).collect(), exact(q, 6, [r for r in some if at[r[0]] in near]))
+    with pytest.raises(ValueError):
+        search.current().complete().nearest(3)
+
+
 def load_like(index, entries):
     return type(index)(index.settings, index.base, index.centroids, index.codebooks, entries)
 
