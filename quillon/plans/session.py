@@ -69,19 +69,23 @@ def register(spark: SparkSession) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vector_l2(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE RETURN sqrt(vector_l2sq(a, b))")
 
 
-def register_search(spark: SparkSession, index: Index, name: str = "ann_search", rerank: int = RERANK) -> None:
+def register_search(spark: SparkSession, index: Index, name: str = "ann_search", rerank: int = RERANK, complete: bool = False) -> None:
     """Makes index.search a SQL table function name(query, k) of plain spark.sql: a projection and two row numbers over the
-    entries, whose filters above the call are ordinary filters on its rows. `sql` has the whole surface."""
+    entries, whose filters above the call are ordinary filters on its rows. `sql` has the whole surface. A `complete` one measures,
+    after the shortlist, all entries that may be as near as its k-th by their code, in a second pass."""
     index.entries.createOrReplaceTempView(f"{name}_entries")
     book, w = json.dumps(index.book.tolist()), index.book.shape[2]
     register(spark)
+    more = """,
+        reach AS (SELECT coalesce(max(CASE WHEN nth = most THEN d END), double('Infinity')) AS far FROM (SELECT d, most, row_number() OVER (ORDER BY d, id) AS nth FROM (SELECT id, most, vector_l2sq(vec, query) AS d FROM short))),
+        whole AS (SELECT id, vec, query FROM coded CROSS JOIN reach WHERE coalesce(pow(greatest(sqrt(found) - off, 0D), 2) - 1e-9D * (found + off * off), 0D) <= far)"""
     spark.sql(
         f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<FLOAT>, k INT) RETURNS TABLE (id BIGINT, score FLOAT) RETURN
-        WITH q AS (SELECT query AS query, transform(from_json('{book}', 'array<array<array<float>>>'),
+        WITH q AS (SELECT query AS query, k AS most, transform(from_json('{book}', 'array<array<array<float>>>'),
                           (words, m) -> transform(words, c -> aggregate(zip_with(slice(query, m * {w} + 1, {w}), c, (x, y) -> (CAST(x AS DOUBLE) - y) * (CAST(x AS DOUBLE) - y)), CAST(0 AS DOUBLE), (a, x) -> a + x))) AS lut),
-        short AS (SELECT id, vec, query FROM (SELECT e.id, e.vec, q.query, row_number() OVER (ORDER BY aggregate(zip_with(e.code, q.lut, (c, row) -> get(row, CAST(c AS INT))), CAST(0 AS DOUBLE), (a, x) -> a + x), e.id) AS nth
-                  FROM {name}_entries e CROSS JOIN q) WHERE nth <= {checked_k(rerank)})
-        SELECT id, CAST(d AS FLOAT) FROM (SELECT id, d, row_number() OVER (ORDER BY d, id) AS nth FROM (SELECT id, vector_l2sq(vec, query) AS d FROM short)) WHERE nth <= k"""
+        coded AS (SELECT e.id, e.vec, e.off, q.query, q.most, aggregate(zip_with(e.code, q.lut, (c, row) -> get(row, CAST(c AS INT))), CAST(0 AS DOUBLE), (a, x) -> a + x) AS found FROM {name}_entries e CROSS JOIN q),
+        short AS (SELECT id, vec, query, most FROM (SELECT *, row_number() OVER (ORDER BY found, id) AS nth FROM coded) WHERE nth <= {checked_k(rerank)}){more if complete else ''}
+        SELECT id, CAST(d AS FLOAT) FROM (SELECT id, d, row_number() OVER (ORDER BY d, id) AS nth FROM (SELECT id, vector_l2sq(vec, query) AS d FROM {'whole' if complete else 'short'})) WHERE nth <= k"""
     )
 
 

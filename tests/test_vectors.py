@@ -437,6 +437,19 @@ def test_a_complete_search_finds_copies_of_one_code(spark):
     assert [r.id for r in search.complete().nearest(3).collect()] == [199, 198, 197]
 
 
+def test_a_complete_search_in_sql_misses_nothing(spark, index):
+    q = [float(np.float32(x + 0.3)) for x in ROWS[9][1]]
+    call = f"SELECT * FROM near_by(array({', '.join(f'CAST({x!r} AS FLOAT)' for x in q)}), %d) ORDER BY score, id"
+    stripped = load_like(index, index.entries.withColumn("code", F.when(F.col("id") % 2 == 0, F.col("code"))))
+    session.register_search(spark, index, "near_by", rerank=2)
+    assert len(spark.sql(call % 6).collect()) == 2
+    for one in (index, stripped):
+        for rerank in (8, 2, 0):
+            session.register_search(spark, one, "near_by", rerank=rerank, complete=True)
+            same(spark.sql(call % 6).collect(), exact(q, 6))
+            assert not spark.sql(call % 0).collect()
+
+
 def load_like(index, entries):
     return type(index)(index.settings, index.base, index.centroids, index.codebooks, entries)
 
