@@ -16,7 +16,7 @@ from dataclasses import asdict, dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import as_vector, squared_l2_to, usable
@@ -87,7 +87,7 @@ class Index:
     def query(self, vector: Sequence[float]) -> Search:
         return Search(self, tuple(query_vector(vector, self.settings.dim)))
 
-    def search(self, vector: Sequence[float], k: int, nprobe: int | None = None, where: Column | str | None = None, allowed_ids: Sequence[int] | DataFrame | None = None, rerank: int = RERANK, probe_mode: str = "exhaustive", current: bool = False) -> DataFrame:
+    def search(self, vector: Sequence[float], k: int, nprobe: int | None = None, where: Column | str | None = None, allowed_ids: Sequence[int] | DataFrame | None = None, rerank: int = RERANK, probe_mode: str = "exhaustive", current: bool = False, complete: bool = False) -> DataFrame:
         """(id, score float), nearest first. `where` and `allowed_ids` restrict the candidates before any are ranked; a filter on
         the result restricts it afterwards. In the exhaustive mode every cluster is searched whatever nprobe is; in the mode
         "limit" only the nprobe nearest are (0: none)."""
@@ -98,6 +98,7 @@ class Index:
             s = s.ids(allowed_ids)
         if checked_probe(nprobe, probe_mode) is not None:
             s = s.probe(nprobe)
+        s = s.complete() if complete else s
         return (s.current() if current else s).topk(k)
 
     def allowed(self, where: Sequence[Column | str] = (), ids: Sequence[Sequence[int] | DataFrame] = ()) -> DataFrame:
@@ -234,6 +235,14 @@ def nominated(batches: Iterator[pa.RecordBatch], tables: np.ndarray, rerank: int
         yield pa.RecordBatch.from_arrays([pa.array(best.value.astype(np.int32)), pa.array(best.id), pa.array(best.key)], ["cluster_id", "id", "approximate"])
 
 
+def reachable(batches: Iterator[pa.RecordBatch], tables: np.ndarray, reach: float) -> Iterator[pa.RecordBatch]:
+    """(cluster_id, id) of the entries (cluster_id, id, code, off) that may be as near as `reach`."""
+    for b in batches:
+        low = quantize.least_distances(quantize.lookup_distances(b.column(2), tables), b.column(3).to_numpy(zero_copy_only=False).astype(np.float64))
+        near = pa.array(low[:, 0] <= reach)
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], ["cluster_id", "id"])
+
+
 def load_index(spark: SparkSession, folder: str, base: DataFrame | None = None) -> Index:
     """An index as saved, with entries that streams have added; without `base`, its settings' table or Parquet path is read. A
     missing index raises."""
@@ -352,19 +361,26 @@ class Search:
 
         Each task keeps the best of its entries by code, with their exact distances, so that one plan does it. A search of all
         clusters of a stored index reads the codes alone first (that job runs at once), and then the vectors of its shortlist by
-        cluster and id."""
+        cluster and id. If it is complete, the k-th of these is a bound, and the codes are read again for the entries that may be as
+        near: up to IN_LIST are read by cluster and id too, and for more the entries are read once, with their vectors."""
         s, rows = self.index.settings, self._allowed()
         table, point, one, most = quantize.query_table(self.index.book, self.vector)[:, :, None], np.array([self.vector]), np.zeros(1, np.int64), self.shortlist
         ship(rows.sparkSession)
-        if self.whole:
-            if self.joined:
-                raise ValueError("a complete search can't be current")
-            return first_k(rows.select("cluster_id", "id", "code", "vec", "off").mapInArrow(lambda it: certain(it, one, point, table, None, k), FOUND).select("id", "score"), k)
+        if self.whole and self.joined:
+            raise ValueError("a complete search can't be current")
+        reach = np.inf
         if self.clusters is None and self.index.stored and most <= IN_LIST and not (self.joined or self.fallback):
             named = rows.select("cluster_id", "id", "code").mapInArrow(lambda it: nominated(it, table, most), "cluster_id int, id bigint, approximate double")
-            found = named.orderBy("approximate", "id").limit(most).collect()
-            few = self.index.entries.filter(cluster.among(r["cluster_id"] for r in found)).filter(f"id IN ({', '.join(str(r['id']) for r in found) or 'NULL'})")
-            return first_k(few.select("id", "vec").mapInArrow(lambda it: best_exact(it, one, point, k), FOUND).select("id", "score"), checked_k(k))
+            few = self._named(named.orderBy("approximate", "id").limit(most).collect(), one, point, k)
+            if not self.whole:
+                return few
+            if 0 < k <= most and len(known := few.collect()) == k:
+                reach = known[-1]["score"]
+                near = rows.select("cluster_id", "id", "code", "off").mapInArrow(lambda it: reachable(it, table, reach), "cluster_id int, id bigint").limit(IN_LIST + 1).collect()
+                if len(near) <= IN_LIST:
+                    return self._named(near, one, point, k)
+        if self.whole:
+            return first_k(rows.select("cluster_id", "id", "code", "vec", "off").mapInArrow(lambda it: certain(it, one, point, table, None, k, reach), FOUND).select("id", "score"), k)
         fallback = self.fallback
         short = rows.select("cluster_id", "id", "code", "vec").mapInArrow(lambda it: shortlisted(it, one, point, table, None, most, fallback), FOUND + ", approximate double")
         short = short.orderBy("approximate", "id").limit(most)
@@ -374,6 +390,11 @@ class Search:
             return first_k(scored(met, self.vector, s.id_col, s.vec_col), k)
         return first_k(short.select("id", "score"), k)
 
+    def _named(self, found: Sequence[Row], one: np.ndarray, point: np.ndarray, k: int) -> DataFrame:
+        """The k nearest of the entries (cluster_id, id) that were found, which are read by cluster and id."""
+        few = self.index.entries.filter(cluster.among(r["cluster_id"] for r in found)).filter(f"id IN ({', '.join(str(r['id']) for r in found) or 'NULL'})")
+        return first_k(few.select("id", "vec").mapInArrow(lambda it: best_exact(it, one, point, k), FOUND).select("id", "score"), checked_k(k))
+
     def topk(self, k: int) -> DataFrame:
         """The same with the score in single precision."""
         return self.nearest(k).select("id", F.col("score").cast("float").alias("score"))

@@ -450,6 +450,23 @@ def test_a_complete_search_in_sql_misses_nothing(spark, index):
             assert not spark.sql(call % 0).collect()
 
 
+def test_a_complete_search_of_a_saved_index_misses_nothing(spark, base, index, tmp_path, monkeypatch):
+    """Whether the entries within reach are few or many, the shortlist smaller than k, or the index one that was saved without `off`."""
+    index.save(f"file://{tmp_path}/new")
+    load_like(index, index.entries.drop("off")).save(f"file://{tmp_path}/old")
+    q = [float(np.float32(x + 0.3)) for x in ROWS[9][1]]
+    for name in ("new", "old"):
+        saved = load_index(spark, f"file://{tmp_path}/{name}", base)
+        assert saved.search(q, 6, rerank=2).count() == 2
+        for most, rerank in ((1000, 8), (20, 8), (1000, 2), (1000, 0)):
+            monkeypatch.setattr("quillon.plans.index.IN_LIST", most)
+            same(saved.search(q, 6, rerank=rerank, complete=True).collect(), exact(q, 6))
+            same(saved.search(q, 6, where="region = 'EU'", rerank=rerank, complete=True).collect(), exact(q, 6, [r for r in ROWS if r[2] == "EU"]))
+        assert saved.search(q, 0, complete=True).count() == 0 and saved.search(q, 1000, complete=True).count() == len(ROWS)
+    with pytest.raises(ValueError):
+        saved.search(q, 3, current=True, complete=True)
+
+
 def load_like(index, entries):
     return type(index)(index.settings, index.base, index.centroids, index.codebooks, entries)
 
